@@ -13,7 +13,7 @@ star.  24 bands of 4 rows miss a pair of similarity 0.8 with probability 3e-6.
 
 Defined results: a null or blank text has no shingles, is its own component and is kept; a text of
 fewer words than a shingle has one shingle, the whole sequence; repeated rows with one id count as
-one document; other columns are ignored.
+one document; a row without doc_id is never kept and links nothing; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     scratch = Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sketch = scratch.save(sketches(docs, width), "sketch")
-    full = sketch.where("set_key is not null")
+    full = sketch.where("set_key is not null and doc_id is not null")
     classes = scratch.save(full.groupBy("set_key").agg(F.min("doc_id").alias("class_id"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select(F.col("class_id").alias("doc_id"), F.explode("bands").alias("bucket"))
     shared = scratch.save(buckets.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 1").select("bucket", "a"), "shared")
@@ -225,7 +225,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     named = classes.join(final, classes.class_id == final.id, "left").select("set_key", "class_id", F.coalesce("component", "class_id").alias("component_id"))
     result = sketch.drop("bands").join(named, "set_key", "left")
     result = result.withColumns({c: F.coalesce(c, "doc_id") for c in ("class_id", "component_id")})
-    return result.select("doc_id", "n_shingles", "class_id", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return result.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from .minhash import op2_minhash
+from .substrings import op4_substrings
 
 QUERIES = {
     "op2_minhash": op2_minhash,
+    "op4_substrings": op4_substrings,
 }
 
 ORACLES: dict[str, str] = {}
