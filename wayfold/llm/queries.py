@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .language import op9_language
+from .media import op10_progressive_jpeg
 from .minhash import op2_minhash
+from .packing import op7_packing
 from .substrings import op4_substrings
 
 QUERIES = {
     "op2_minhash": op2_minhash,
     "op4_substrings": op4_substrings,
+    "op7_packing": op7_packing,
+    "op9_language": op9_language,
+    "op10_progressive_jpeg": op10_progressive_jpeg,
 }
 
 ORACLES: dict[str, str] = {}
