@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from .html import op1_html
 from .language import op9_language
 from .media import op10_progressive_jpeg
 from .minhash import op2_minhash
 from .packing import op7_packing
+from .quality import op5_quality
 from .substrings import op4_substrings
 
 QUERIES = {
+    "op1_html": op1_html,
     "op2_minhash": op2_minhash,
     "op4_substrings": op4_substrings,
+    "op5_quality": op5_quality,
     "op7_packing": op7_packing,
     "op9_language": op9_language,
     "op10_progressive_jpeg": op10_progressive_jpeg,
