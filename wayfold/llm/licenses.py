@@ -9,8 +9,8 @@ diagonal.  Any stretch of four words in common has a common fingerprint.
 The index is the fixed library of templates, so it travels with the code; texts are read once, whole.
 
 Defined results: a null, empty or matchless text gives no rows; a template that occurs again in a
-text gives a row for each place; of overlapping matches of one template the better, then the earlier
-one stays; other columns are ignored.
+text gives a row for each place; of overlapping matches the one with more matched words stays, then
+the better covered, then the earlier; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,19 +130,19 @@ def align(template: np.ndarray, text: np.ndarray, start: int, band: int = BAND):
 
 
 def matches(index: Index, hashes: np.ndarray, coverage: float) -> list[tuple]:
-    """(template, matched words, first word, last word) of one text, without overlaps of a template."""
+    """(template, matched words, first word, last word) of one text, without overlaps."""
     found = []
     for template, start in index.candidates(hashes):
         result = align(index.words[template], hashes, start)
         if result and result[0] >= coverage * len(index.words[template]):
             found.append((template, *result))
-    found.sort(key=lambda m: (m[0], -m[1], m[2]))
+    found.sort(key=lambda m: (-m[1], -m[1] / len(index.words[m[0]]), m[2], m[0]))
     kept: list[tuple] = []
-    taken = np.zeros(len(hashes), np.int64)
+    taken = np.zeros(len(hashes), bool)
     for m in found:
         span = slice(m[2], m[3] + 1)
-        if not (taken[span] == m[0] + 1).any():
-            taken[span] = m[0] + 1
+        if not taken[span].any():
+            taken[span] = True
             kept.append(m)
     return kept
 
