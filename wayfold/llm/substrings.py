@@ -135,12 +135,42 @@ def _shared(run: int):
     return merge
 
 
-def _holders(run: int):
-    """Of each segment, the documents that hold a shared anchor: doc_id, whether new, their anchors."""
+def _dealt(groups: int, docs: np.ndarray, hashes: np.ndarray, fresh: np.ndarray):
+    """(doc_id, hash) entries as one row for each group of documents, for ``_gathered``."""
+    import pyarrow as pa
+
+    group = (docs.view(U64) * U64(0x9E3779B97F4A7C15) >> U64(33)).astype(np.int64) % groups
+    order = np.argsort(group, kind="stable")
+    group, docs, hashes, fresh = (x[order] for x in (group, docs, hashes, fresh))
+    first = np.append(_starts(group), len(group))
+    columns = [pa.array(group[first[:-1]].astype(np.int32))]
+    columns += [pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()) for x in (docs, hashes, fresh)]
+    return columns, ["part", "docs", "hashes", "fresh"]
+
+
+def _gathered(table):
+    """One row for each document of a group: doc_id, whether new, all its hashes."""
+    import pyarrow as pa
+
+    docs, hashes, fresh = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("docs", np.int64), ("hashes", U64), ("fresh", bool)))
+    order = np.argsort(docs, kind="stable")
+    docs, hashes, fresh = docs[order], hashes[order], fresh[order]
+    first = np.append(_starts(docs), len(docs))
+    found = [hashes[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
+    return pa.table({"doc_id": pa.array(docs[first[:-1]]), "fresh": pa.array(fresh[first[:-1]]), "found": pa.array(found, pa.binary())})
+
+
+DEALT = "part int, docs binary, hashes binary, fresh binary"
+GATHERED = "doc_id long, fresh boolean, found binary"
+
+
+def _holders(run: int, groups: int):
+    """The documents of the segments that hold a shared anchor, with those anchors."""
 
     def look(batches):
         import pyarrow as pa
 
+        kept, size = [], 0
         for batch in batches:
             for i in range(batch.num_rows):
                 shared = np.frombuffer(batch.column("shared")[i].as_py(), U64)
@@ -151,13 +181,13 @@ def _holders(run: int):
                 sizes = np.frombuffer(batch.column("holders")[i].as_py(), np.uint32)
                 pick = np.repeat(hit, sizes)
                 docs = np.frombuffer(batch.column("docs")[i].as_py(), np.int64)[pick]
-                own = np.repeat(h, sizes)[pick]
-                order = np.argsort(docs, kind="stable")
-                docs, own = docs[order], own[order]
-                first = np.append(_starts(docs), len(docs))
-                values = [own[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                fresh = [batch.column("run")[i].as_py() == run] * len(values)
-                yield pa.record_batch([pa.array(docs[first[:-1]]), pa.array(fresh), pa.array(values, pa.binary())], ["doc_id", "fresh", "found"])
+                kept.append((docs, np.repeat(h, sizes)[pick], np.full(len(docs), batch.column("run")[i].as_py() == run)))
+                size += len(docs)
+                if size > SEGMENT:
+                    yield pa.record_batch(*_dealt(groups, *(np.concatenate(x) for x in zip(*kept))))
+                    kept, size = [], 0
+        if kept:
+            yield pa.record_batch(*_dealt(groups, *(np.concatenate(x) for x in zip(*kept))))
 
     return look
 
@@ -175,8 +205,8 @@ def _windows(window: int, inner: int, n_parts: int):
                 fresh = batch.column("fresh").to_numpy(zero_copy_only=False)
                 words = Batch(to_bytes(batch.column("text")))
                 hashes, owner = [], []
-                for i, lists in enumerate(batch.column("found").to_pylist()):
-                    shared = np.concatenate([np.frombuffer(x, U64) for x in lists])
+                for i, shared in enumerate(batch.column("found").to_pylist()):
+                    shared = np.frombuffer(shared, U64)
                     own = words.of(i)
                     own = _distinct(window_hashes(own, window)[np.isin(anchors(own, window, inner), shared)])
                     hashes.append(own)
@@ -205,19 +235,20 @@ def _windows(window: int, inner: int, n_parts: int):
     return run
 
 
-def _repeats(table):
-    """Of one hash range, the new documents whose window an earlier document has: doc_id, hashes."""
-    import pyarrow as pa
+def _repeats(groups: int):
+    """Of one hash range, the new documents whose window an earlier document has, dealt by document."""
+
+    def merge(table):
+        import pyarrow as pa
 
-    h, d, f = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("hashes", U64), ("docs", np.int64), ("fresh", bool)))
-    order = np.lexsort((d, h))
-    h, d, f = h[order], d[order], f[order]
-    later = np.concatenate([[False], h[1:] == h[:-1]]) & f
-    h, d = h[later], d[later]
-    order = np.argsort(d, kind="stable")
-    h, d = h[order], d[order]
-    first = np.append(_starts(d), len(d))
-    return pa.table({"doc_id": pa.array(d[first[:-1]]), "hashes": pa.array([h[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())})
+        h, d, f = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("hashes", U64), ("docs", np.int64), ("fresh", bool)))
+        order = np.lexsort((d, h))
+        h, d, f = h[order], d[order], f[order]
+        later = np.concatenate([[False], h[1:] == h[:-1]]) & f
+        columns, names = _dealt(groups, d[later], h[later], f[later])
+        return pa.table(columns, names)
+
+    return merge
 
 
 def _compact(into: int):
@@ -267,12 +298,13 @@ class FingerprintIndex:
             index = index.union(run)
         shared = index.select("part", "run", "hashes", "many").groupBy("part").applyInArrow(_shared(n), "part int, shared binary")
         shared = save(shared.where(F.length("shared") > 0), f"shared-{n}")
-        held = index.join(shared, "part").select("run", "hashes", "docs", "holders", "shared").mapInArrow(_holders(n), "doc_id long, fresh boolean, found binary")
-        held = save(held.groupBy("doc_id").agg(F.max("fresh").alias("fresh"), F.collect_list("found").alias("found")), f"held-{n}")
+        held = index.join(shared, "part").select("run", "hashes", "docs", "holders", "shared").mapInArrow(_holders(n, self.parts), DEALT)
+        held = save(held.groupBy("part").applyInArrow(_gathered, GATHERED), f"held-{n}")
         matched = with_ids(texts.select("doc_id", "text"), held).join(held, "doc_id").select("doc_id", "fresh", "found", "text")
         windows = matched.mapInArrow(_windows(self.window, self.inner, self.parts), "part int, doc_id long, hashes binary, docs binary, fresh binary")
         windows = save(windows, f"windows-{n}")
-        across = windows.where("part >= 0").select("part", "hashes", "docs", "fresh").groupBy("part").applyInArrow(_repeats, "doc_id long, hashes binary")
+        across = windows.where("part >= 0").select("part", "hashes", "docs", "fresh").groupBy("part").applyInArrow(_repeats(self.parts), DEALT)
+        across = across.groupBy("part").applyInArrow(_gathered, GATHERED).select("doc_id", F.col("found").alias("hashes"))
         found = save(across.union(windows.where("part < 0").select("doc_id", "hashes")), f"found-{n}")
         for name in ("shared", "held", "windows"):
             self.scratch.drop(f"{name}-{n}")
