@@ -17,6 +17,9 @@ def test_units_encode_like_the_tokenizer():
     r = random.Random(7)
     bits = ["it's", "we'LL", " ", "  ", "\n", "\n\n ", "\t", " ", "　", " ", "\x1c", "\x85", "é", "naïve", "123", "!?", "***", "<|endoftext|>", "漢字", "x" * 300, "​", "🙂"]
     texts = ["", " ", " a", "a ", "\n"] + ["".join(r.choice(bits) for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    words = ["it's", "the", "é***", "a\tb", "x\xa0", "\x02", "漢字", "12", "<|endoftext|>", "", "don't,"]
+    texts += [r.choice([" ", "\n", " ", "\n\n"]).join(r.choice(words) for _ in range(r.randint(1, 12))) + r.choice(["", "", "\n", " "]) for _ in range(2000)]
+    texts += ["\n".join(" ".join(r.choice(words[:3] + words[6:9]) for _ in range(5)) for _ in range(3)) for _ in range(500)]
     want = [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
     assert packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts) == want
 

@@ -30,7 +30,7 @@ from .textkit import U64, Batch, slices, to_bytes
 LENGTH, END_ID = 2048, 1
 DIMENSIONS, BITS = 4, 10
 #: Words with their ids that a worker remembers before it starts afresh.
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 _WS = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: A word with one space before it, or white space up to the last character before a word.
 UNITS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -105,6 +105,16 @@ class Encoder:
         return [b"".join([known[u] for u in own]) for own in units]
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One encoder for each worker process: later tasks find its vocabulary and its words in place."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -116,7 +126,7 @@ def _packer(path: str, length: int, end_id: int, with_ids: bool):
         from pyspark import TaskContext
 
         base = TaskContext.get().partitionId() << 40
-        encoder, sequence, room, rows = Encoder(path), 0, length, []
+        encoder, sequence, room, rows = _encoder(path), 0, length, []
 
         def piece(doc, start, ids, total, offset, extra=0):
             row = (doc, start, len(ids) // 4, zlib.crc32(ids), total, base + sequence + extra, offset)
