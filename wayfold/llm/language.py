@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 from .textkit import slices, to_bytes
 
-SAMPLE, DIMENSIONS, EPOCHS, COST = 600, 1 << 13, 30, 4.0
+SAMPLE, DIMENSIONS, EPOCHS, COST = 400, 1 << 13, 30, 4.0
 LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 32, np.uint8)
 _FOLD[97:123] = np.arange(97, 123)
