@@ -29,8 +29,8 @@ from .textkit import U64, Batch, slices, to_bytes
 
 LENGTH, END_ID = 2048, 1
 DIMENSIONS, BITS = 4, 10
-#: Words with their ids that a worker remembers before it starts afresh.
-REMEMBERED = 600_000
+#: Words with their ids that a worker remembers (about 200 MB) before it starts afresh.
+REMEMBERED = 1_300_000
 _WS = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
 #: A word with one space before it, or white space up to the last character before a word.
 UNITS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -97,12 +97,11 @@ class Encoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known = {}
-        units = [UNITS.findall(t) for t in texts]
-        new = list({u for own in units for u in own if u not in self.known})
+        known, units = self.known, [UNITS.findall(t) for t in texts]
+        new = list(set().union(*units).difference(known))
         for u, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[u] = np.array(found.ids, "<u4").tobytes()
-        known = self.known
-        return [b"".join([known[u] for u in own]) for own in units]
+            known[u] = np.array(found.ids, "<u4").tobytes()
+        return [b"".join(map(known.__getitem__, own)) for own in units]
 
 
 _encoders: dict[str, Encoder] = {}
