@@ -40,6 +40,23 @@ def utc_time(c: Column, offset_minutes: int = 480) -> Column:
     return local - F.make_dt_interval(mins=minutes)
 
 
+def weekday_time(c: Column) -> Column:
+    """UTC wall time of a text such as ``Tue Apr 03 18:00:09 +0000 2012``; null if it is no time."""
+    rest = F.regexp_replace(F.trim(c), r"^[A-Za-z]{3}\s+", "")
+    return F.try_to_timestamp(rest, F.lit("MMM dd HH:mm:ss Z yyyy"))
+
+
+def category_key(c: Column) -> Column:
+    """A category's name for look-ups: lower case, plain e in cafe, blanks for hyphens, single blanks."""
+    return F.trim(F.regexp_replace(F.replace(F.replace(F.lower(c), F.lit("café"), F.lit("cafe")), F.lit("-"), F.lit(" ")), r"\s+", " "))
+
+
+def prompt_parts(c: Column) -> list[Column]:
+    """The time and the user that a prompt asks about; empty where it asks about none."""
+    pattern = r"(?i)When (\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}) user_(\S+) is likely to visit:"
+    return [F.regexp_extract(c, pattern, i) for i in (1, 2)]
+
+
 def sid_tokens(levels: Column) -> Column:
     """[3, 1] as <a_3><b_1>."""
     return F.array_join(F.transform(levels, lambda v, i: F.concat(F.lit("<"), F.char(i + 97), F.lit("_"), v.cast("string"), F.lit(">"))), "")

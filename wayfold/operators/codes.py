@@ -42,3 +42,19 @@ def sqrt_allocation(counts: DataFrame, total: int) -> DataFrame:
     left = F.lit(total) - F.sum("base").over(whole)
     rank = F.row_number().over(Window.partitionBy().orderBy(F.desc(F.col("share") - F.floor("share")), "g"))
     return base.withColumn("left", left).withColumn("rank", rank).select("g", "n", (F.col("base") + (F.col("rank") <= F.col("left")).cast("int")).alias("quota"))
+
+
+def trie(df: DataFrame, levels: list[str]) -> DataFrame:
+    """prefix array, next array: the values allowed after each prefix, in order; a whole code allows none."""
+    code = df.select(F.array(*levels).alias("code")).distinct()
+    step = F.transform(F.sequence(F.lit(0), F.lit(len(levels) - 1)), lambda i: F.struct(F.slice("code", F.lit(1), i).alias("prefix"), F.get("code", i).alias("value")))
+    edges = code.select(F.inline(step)).distinct()
+    return edges.groupBy("prefix").agg(F.sort_array(F.collect_list("value")).alias("next"))
+
+
+def validated(codebook: DataFrame, catalog: DataFrame, depth: int) -> DataFrame:
+    """One row of counts: codes, distinct codes, codes of a wrong depth, places of the catalog without one; codebook(pid, sid)."""
+    wrong = F.size(F.regexp_extract_all("sid", F.lit(r"<[a-z]_\d+>"), F.lit(0))) != depth
+    number = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    held = catalog.select("pid").distinct().join(codebook.withColumn("has", F.lit(1)), "pid", "left")
+    return held.agg(F.count("has").alias("codes"), F.count_distinct("sid").alias("unique_codes"), number(F.coalesce(wrong, F.lit(False)), "wrong_depth"), number(F.col("has").isNull(), "missing"))

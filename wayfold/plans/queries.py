@@ -511,6 +511,69 @@ def entropy_reliability(spark, sf_dir):
     return e.select("u", F.round("e", 9).alias("entropy"), F.when(F.col("e") <= 0.55, "strong").when(F.col("e") >= 0.85, "weak").otherwise("normal").alias("reliability"))
 
 
+# --- checks and reports -------------------------------------------------------------------------
+
+
+@query(f"WITH c AS (SELECT u, count(*) AS n, count(DISTINCT p) AS places FROM ({B.B_SQL}) GROUP BY u), m AS (SELECT min(n) AS least, max(n) AS most FROM c) SELECT least, most, u, places FROM c JOIN m ON n = most")
+def user_event_extremes(spark, sf_dir):
+    """The users with most events, their places, and the least and most events of any user."""
+    c = B.visits_b(spark, sf_dir).groupBy("u").agg(F.count("*").alias("n"), F.count_distinct("p").alias("places"))
+    m = c.agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    return c.join(F.broadcast(m), F.col("n") == F.col("most")).select("least", "most", "u", "places")
+
+
+@query(f"SELECT l2 AS city, count(*) AS n FROM ({B.B_SQL}) WHERE l2 <> 'CHINA' GROUP BY 1 ORDER BY n DESC, city LIMIT 8")
+def top_cities(spark, sf_dir):
+    """The eight cities with most visits, one left out as a sentinel."""
+    return B.visits_b(spark, sf_dir).where("l2 != 'CHINA'").groupBy(F.col("l2").alias("city")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "city").limit(8)
+
+
+@query(f"WITH {A_STATES}, {_ROLL} SELECT 'raw' AS stage, count(*) AS n FROM ({B.A_SQL}) UNION ALL SELECT 'visible', count(*) FROM vis UNION ALL SELECT 'states', count(*) FROM st UNION ALL SELECT 'samples', count(*) FROM roll WHERE place > 1")
+def stage_counts(spark, sf_dir):
+    raw = B.visits_a(spark, sf_dir)
+    visible = trajectory.train_visible(trajectory.deduplicated(raw), B.A_TRAIN)
+    states = trajectory.collapsed(visible)
+    steps = [("raw", raw), ("visible", visible), ("states", states), ("samples", trajectory.rolling(states))]
+    found = [d.agg(F.count("*").alias("n")).select(F.lit(name).alias("stage"), "n") for name, d in steps]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
+@query(f"WITH {A_STATES}, {_ROLL} SELECT u AS user, strftime(t + INTERVAL 480 MINUTE, '%Y-%m-%d %H:%M:%S') AS time, count(*) AS n FROM roll WHERE place > 1 GROUP BY 1, 2")
+def prompt_parse(spark, sf_dir):
+    time, user = C.prompt_parts(F.col("input"))
+    return sft_records(spark, sf_dir).groupBy(user.alias("user"), time.alias("time")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS utc FROM events")
+def parse_weekday_time(spark, sf_dir):
+    made = F.concat(F.date_format("ts", "EEE MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format("ts", "yyyy"))
+    return B.table(spark, sf_dir, "events").select("event_id", F.date_format(C.weekday_time(made), "yyyy-MM-dd HH:mm:ss").alias("utc"))
+
+
+@query("SELECT p_partkey, 'cafe ' || lower(p_type) || ' x' AS key FROM part")
+def category_keys(spark, sf_dir):
+    noisy = F.concat(F.lit("Café-"), F.col("p_type"), F.lit("  -x"))
+    return B.table(spark, sf_dir, "part").select("p_partkey", C.category_key(noisy).alias("key"))
+
+
+@query(_GRID + ", t AS (SELECT DISTINCT '' AS prefix, a AS next FROM code UNION ALL SELECT DISTINCT a || '', b FROM code UNION ALL SELECT DISTINCT a || ',' || b, l1_label FROM code) SELECT prefix, string_agg(next, ',' ORDER BY next) AS next FROM t GROUP BY prefix")
+def catalog_trie(spark, sf_dir):
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return codes.trie(coded(spark, sf_dir), ["a", "b", "l1_label"]).select(text("prefix").alias("prefix"), text("next").alias("next"))
+
+
+@query(_GRID + " SELECT count(*) FILTER (WHERE pid % 20 <> 0) AS codes, count(*) FILTER (WHERE pid % 20 <> 0) AS unique_codes, CAST(0 AS BIGINT) AS wrong_depth, count(*) FILTER (WHERE pid % 20 = 0) AS missing FROM code")
+def codebook_check(spark, sf_dir):
+    c = coded(spark, sf_dir)
+    book = c.where("pid % 20 != 0").select("pid", C.sid_tokens(F.array("a", "b", "l1_label", "l2_label", "e")).alias("sid"))
+    return codes.validated(book, c, 5)
+
+
+@query(f"WITH {_CATALOG} SELECT pid, format('Place {{}} is a {{}} at {{:.6f}}, {{:.6f}}', pid, l2, lat, lon) AS text FROM full_cat")
+def place_descriptions(spark, sf_dir):
+    return catalog_b(spark, sf_dir).select("pid", F.format_string("Place %d is a %s at %.6f, %.6f", "pid", "l2", "lat", "lon").alias("text"))
+
+
 # --- vectors ------------------------------------------------------------------------------------
 
 
