@@ -7,6 +7,8 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.sinks import Stage
+
 ORDER = ("t", "p")
 
 
@@ -70,12 +72,14 @@ def last_k(samples: DataFrame, k: int = 5) -> DataFrame:
 def dense_ids(keys: DataFrame, key: str, name: str) -> DataFrame:
     """0..n-1 in order of the distinct keys, without gathering them in one task.
 
-    Keys are range-partitioned and sorted; only each partition's count goes to the driver, and a
-    partition's numbers start where the earlier ones end.
+    Keys are range-partitioned and written with their partition to the shared folder, so a lost
+    executor cannot change who holds which key; only each partition's count goes to the driver, and
+    a partition's numbers start where the earlier ones end.
     """
     spark = keys.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keys.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct().repartitionByRange(n, key).withColumn("part", F.spark_partition_id()).persist()
+    ranged = keys.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct().repartitionByRange(n, key).withColumn("part", F.spark_partition_id())
+    ranged = Stage(spark).save(ranged, "keys")
     counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())
     starts, total = [], 0
     for part, count in counts:
