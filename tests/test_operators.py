@@ -77,3 +77,85 @@ def test_readers(spark, tmp_path):
     assert g.shape == [[[[0.0, 0.0], [1.0, 0.0], [1.0, 1.0], [0.0, 0.0]]]]
     sinks.write_shards(spark.range(7).withColumnRenamed("id", "sample_index"), str(tmp_path / "s"), 3)
     assert sorted(r["count"] for r in spark.read.json(str(tmp_path / "s")).groupBy("shard").count().collect()) == [2, 2, 3]
+
+
+def _completed(priors, used, size):
+    """One place after another, by rising id."""
+    taken, out = set(used), {}
+    for pid in sorted(priors):
+        prior = priors[pid]
+        tries = [prior]
+        for at in (2, 1, 0):
+            tries += [prior[:at] + (v,) + prior[at + 1 :] for v in range(size) if v != prior[at]]
+        for keep in (0, 1, 2):
+            pairs = [(f, g) for f in range(size) for g in range(size)]
+            tries += [p[:keep] + (prior[keep],) + p[keep:] for p in pairs]
+        tries += [(i // size**2, i // size % size, i % size) for i in range(size**3)]
+        out[pid] = next(c for c in tries if c not in taken)
+        taken.add(out[pid])
+    return out
+
+
+def test_unique_completion_equals_one_by_one(spark):
+    r = random.Random(3)
+    priors = {pid: (r.randrange(2), 1, r.randrange(2)) if pid % 3 else (0, 0, 0) for pid in range(24)}
+    used = {(0, 0, 1), (1, 1, 0), (2, 2, 2)}
+    rows = spark.createDataFrame([(k, *v) for k, v in priors.items()], "pid long, a long, b long, c long")
+    taken = spark.createDataFrame([((a * 3 + b) * 3 + c,) for a, b, c in used], "code long")
+    got = {x.pid: (x.code // 9, x.code // 3 % 3, x.code % 3) for x in graph.unique_completion(rows, taken, 3, sinks.Stage(spark).save).collect()}
+    assert got == _completed(priors, used, 3)
+    too_many = spark.range(9).selectExpr("id AS pid", "0L AS a", "0L AS b", "0L AS c")
+    with pytest.raises(Exception, match="used up"):
+        graph.unique_completion(too_many, taken.where("code < 0"), 2, sinks.Stage(spark).save).collect()
+
+
+def test_reliability_groups(spark):
+    from wayfold.operators.reliability import mode, reliability
+
+    rows = [("s", ["a", "b", "a"], "a"), ("w", ["a", "b", "c", "d"], "x"), ("n", ["a", "a", "a"], "x"), ("w", [], "x"), ("n", ["a", "b", "c"], "a")]
+    df = spark.createDataFrame([(w, h, g) for w, h, g in rows], "want string, h array<string>, g string")
+    got = df.select("want", reliability(F.col("h"), F.col("g")).alias("r"), mode(F.col("h")).alias("m")).collect()
+    assert all(x.r[0] == x.want for x in got)
+    assert [x.m for x in got] == ["a", "a", "a", None, "a"]
+    tail = df.select(reliability(F.col("h"), F.col("g"), F.lit(1), tail=1).alias("r")).collect()
+    assert [x.r for x in tail] == ["strong", "weak", "weak", "weak", "normal"]
+
+
+def test_sinkhorn_rows_and_columns(spark):
+    from wayfold.operators.vectors import sinkhorn
+
+    cells = spark.createDataFrame([(i, j, float((i * 7 + j * 3) % 5)) for i in range(4) for j in range(4)], "r long, c long, d double")
+    q = sinkhorn(cells, 1.0, 10, sinks.Stage(spark).save)
+    for key, near in (("r", 1e-6), ("c", 1e-2)):
+        assert all(abs(x[1] - 1) < near for x in q.groupBy(key).sum("q").collect())
+
+
+def test_unknown_code_and_repeated_key_are_errors(spark):
+    book = spark.createDataFrame([("<a_1>", 7)], "sid string, pid long")
+    texts = spark.createDataFrame([(1, "go <a_1>  <a_1> on"), (2, "none"), (3, None)], "k long, text string")
+    assert {r.k: r.text for r in codes.with_pids(texts, book, "k", "text").collect()} == {1: "go [PID:7] [PID:7] on", 2: "none", 3: None}
+    with pytest.raises(Exception, match="not in the codebook"):
+        codes.with_pids(spark.createDataFrame([(1, "<a_2>")], "k long, text string"), book, "k", "text").collect()
+    one = spark.range(3)
+    assert ranking.disjoint_union([one, spark.range(3, 5)], "id").count() == 5
+    with pytest.raises(Exception, match="twice"):
+        ranking.disjoint_union([one, spark.range(2, 4)], "id").collect()
+
+
+def test_best_epoch(spark):
+    assert ranking.best_epoch(spark.createDataFrame([(1, 0.5), (2, 0.25), (3, 0.25)], "epoch long, loss double")).first().epoch == 2
+
+
+def test_files(tmp_path):
+    from wayfold.sources import files
+
+    a, b = str(tmp_path / "a"), str(tmp_path / "b")
+    with pytest.raises(ValueError):
+        files.one_of(a, b)
+    files.write_report({"x": 1}, a)
+    assert files.one_of(a, b) == a and not (tmp_path / "a.tmp").exists()
+    with pytest.raises(ValueError):
+        files.write_report({"x": float("nan")}, b)
+    before = files.fingerprint(str(tmp_path))
+    files.write_report({"x": 2}, a)
+    assert files.fingerprint(str(tmp_path)) != before

@@ -58,3 +58,23 @@ def validated(codebook: DataFrame, catalog: DataFrame, depth: int) -> DataFrame:
     number = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
     held = catalog.select("pid").distinct().join(codebook.withColumn("has", F.lit(1)), "pid", "left")
     return held.agg(F.count("has").alias("codes"), F.count_distinct("sid").alias("unique_codes"), number(F.coalesce(wrong, F.lit(False)), "wrong_depth"), number(F.col("has").isNull(), "missing"))
+
+
+def with_pids(df: DataFrame, codebook: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text with every run of code tokens as ``[PID:n] `` and single blanks; an unknown code is an error; codebook(sid, pid)."""
+    pattern = r"(?:<[a-z]_\d+>)+"
+    cut = df.select(key, F.split(text, pattern).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("runs"))
+    found = cut.select(key, F.posexplode("runs").alias("at", "sid")).join(codebook.select("sid", "pid"), "sid", "left")
+    pid = F.coalesce(F.col("pid").cast("string"), F.raise_error(F.lit("a code is not in the codebook")).cast("string"))
+    pids = found.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("at", pid.alias("pid")))), lambda x: F.concat(F.lit("[PID:"), x["pid"], F.lit("] "))).alias("pids"))
+    whole = F.zip_with("pieces", F.coalesce("pids", F.array().cast("array<string>")), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return cut.join(pids, key, "left").select(key, F.trim(F.regexp_replace(F.array_join(whole, ""), r"\s+", " ")).alias(text))
+
+
+def contract(catalog: DataFrame, vectors: DataFrame, codes: DataFrame, size: int) -> DataFrame:
+    """One row: places, places without vector or code, repeated pids, codes out of range, whether all fit; codes(pid, code array)."""
+    number = lambda c, name: F.coalesce(F.sum(c.cast("long")), F.lit(0)).alias(name)
+    bad = (F.size("code") != 3) | F.exists("code", lambda x: (x < 0) | (x >= size))
+    per = codes.groupBy("pid").agg(F.count("*").alias("n"), F.max(bad.cast("int")).alias("bad"))
+    held = catalog.select("pid").distinct().join(vectors.select("pid").distinct().withColumn("v", F.lit(1)), "pid", "left").join(per, "pid", "left")
+    return held.agg(F.count("*").alias("places"), number(F.col("v").isNull(), "no_vector"), number(F.col("n").isNull(), "no_code"), number(F.coalesce(F.col("n") > 1, F.lit(False)), "repeated"), number(F.coalesce(F.col("bad") == 1, F.lit(False)), "out_of_range"), (F.lit(size) ** 3 >= F.count("*")).alias("fits"))

@@ -83,3 +83,27 @@ def bootstrap(per_user: DataFrame, rounds: int = 2000, seed: int = 42) -> DataFr
         return pd.DataFrame({"city": [key[0]], "diff": [d.sum() / n.sum()], "low": [low], "high": [high]})
 
     return per_user.groupBy("city").applyInPandas(run, "city string, diff double, low double, high double")
+
+
+def filtered(predictions: Column, legal, k: int = 10) -> list[Column]:
+    """How many predictions are illegal, and the first k distinct legal ones."""
+    return [F.size(F.filter(predictions, lambda x: ~legal(x))).alias("illegal"), F.slice(F.array_distinct(F.filter(predictions, legal)), 1, k).alias("kept")]
+
+
+def merged_counts(shards: DataFrame, column: str) -> DataFrame:
+    """key, n: the counters of all shards added up; column is map<string, long>."""
+    return shards.select(F.explode(column).alias("key", "n")).groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def disjoint_union(parts: list[DataFrame], key: str) -> DataFrame:
+    """All rows of the parts; a key that comes twice is an error when the result is read."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    n = F.count("*").over(Window.partitionBy(key))
+    return whole.withColumn("_n", n).withColumn(key, F.when(F.col("_n") == 1, F.col(key)).otherwise(F.raise_error(F.lit("a key comes twice")).cast(whole.schema[key].dataType))).drop("_n")
+
+
+def best_epoch(losses: DataFrame) -> DataFrame:
+    """The epoch of least loss, the earlier of equals; losses(epoch, loss)."""
+    return losses.agg(F.min(F.struct("loss", "epoch")).alias("b")).select("b.epoch", "b.loss")

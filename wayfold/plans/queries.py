@@ -595,3 +595,133 @@ def region_kmeans(spark, sf_dir):
 def vector_norms(spark, sf_dir):
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return B.table(spark, sf_dir, "embeddings").select("vec_id", F.round(norm, 4).alias("norm"))
+
+
+# --- reliability --------------------------------------------------------------------------------
+
+_HISTORY = f"{_visible('SELECT DISTINCT u, p, t FROM (' + B.A_SQL + ')', B.A_TRAIN)}, hist AS (SELECT u, p, t, row_number() OVER (PARTITION BY u ORDER BY t, p) AS place, list(p) OVER (PARTITION BY u ORDER BY t, p ROWS BETWEEN 49 PRECEDING AND 1 PRECEDING) AS h FROM vis), hs AS (SELECT u, p, t, h FROM hist WHERE place > 1)"
+_GROUPS = f"""{_HISTORY}, f AS (SELECT *, len(list_filter(h[-5:], lambda x: x = p)) AS near, h[-1] = p AS last, list_sort(list_transform(list_distinct(h), lambda l: {{'n': -len(list_filter(h, lambda x: x = l)), 'l': l}}))[1].l = p AS same, CASE WHEN len(list_distinct(h)) = 1 THEN 0 ELSE list_entropy(h) / log2(len(list_distinct(h))) END AS e FROM hs),
+ g AS (SELECT u, t, p, CASE WHEN (last AND (near >= 2 OR e <= 0.55 OR same)) OR (near >= 2 AND same) THEN 'strong' WHEN near = 0 AND e >= 0.85 THEN 'weak' ELSE 'normal' END AS reliability FROM f)"""
+
+
+def samples_with_reliability(spark, sf_dir):
+    """Samples of all visible visits (runs kept) with the group of each."""
+    from ..operators.reliability import reliability
+
+    s = trajectory.rolling(trajectory.train_visible(trajectory.deduplicated(B.visits_a(spark, sf_dir)), B.A_TRAIN))
+    return s.select("u", "t", "p", reliability(F.slice("seq", 1, F.size("seq") - 1), F.col("p")).alias("reliability"))
+
+
+@query(f"WITH {_GROUPS} SELECT u, p, {TIME.format('t')} AS t, reliability FROM g")
+def sample_reliability(spark, sf_dir):
+    return samples_with_reliability(spark, sf_dir).select("u", "p", _time().alias("t"), "reliability")
+
+
+@query(f"WITH {_GROUPS}, n AS (SELECT reliability, w, (SELECT count(*) FROM g WHERE g.reliability = k.reliability) AS samples FROM (VALUES ('strong', 1.3::DOUBLE), ('normal', 1.0), ('weak', 0.7)) k(reliability, w)) SELECT reliability, samples, round(samples / sum(samples) OVER (), 9) AS ratio, CASE WHEN samples > 0 THEN w ELSE 0 END AS raw_weight_mean, round(CASE WHEN samples > 0 THEN w ELSE 0 END / (sum(samples * w) OVER () / sum(samples) OVER ()), 9) AS weight_mean FROM n")
+def reliability_summary(spark, sf_dir):
+    from ..operators.reliability import summary
+
+    return summary(samples_with_reliability(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("ratio", "weight_mean")})
+
+
+@query(f"WITH {A_STATES}, h AS (SELECT row_number() OVER w AS place, list(p) OVER (PARTITION BY u ORDER BY t, p ROWS BETWEEN 49 PRECEDING AND 1 PRECEDING) AS h FROM st WINDOW w AS (PARTITION BY u ORDER BY t, p)) SELECT '<' || x || '>' AS sid, count(*) AS n FROM (SELECT unnest(h) AS x FROM h WHERE place > 1) GROUP BY 1")
+def history_events(spark, sf_dir):
+    """How often each token comes in the histories of the prompts."""
+    events = F.regexp_extract_all("input", F.lit(r"(\d{4}-\d{2}-\d{2}) (\d{2}:\d{2}:\d{2}) visited ((?:<[^>]+>)+)"), F.lit(3))
+    return sft_records(spark, sf_dir).select(F.explode(events).alias("sid")).groupBy("sid").agg(F.count("*").alias("n"))
+
+
+# --- predictions, codes and checks --------------------------------------------------------------
+
+
+@query("SELECT event_type AS p, '{' || string_agg('\"' || h || '\":' || n, ',' ORDER BY h) || '}' AS hours FROM (SELECT event_type, hour(ts + INTERVAL 480 MINUTE) AS h, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY 1")
+def hour_json(spark, sf_dir):
+    entries = F.transform(F.sort_array(F.collect_list(F.struct("hour", "n"))), lambda x: F.struct(x["hour"].cast("string").alias("k"), x["n"].alias("v")))
+    return local_hour_hist(spark, sf_dir).groupBy("p").agg(F.to_json(F.map_from_entries(entries)).alias("hours"))
+
+
+@query("SELECT event_type AS key, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def histogram_merge(spark, sf_dir):
+    per = B.table(spark, sf_dir, "events").groupBy((F.col("event_id") % 7).alias("shard"), "event_type").agg(F.count("*").alias("n"))
+    return ranking.merged_counts(per.groupBy("shard").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("h")), "h")
+
+
+def _predicted(k):
+    at = lambda j: F.lit(-1).cast("long") if j == 8 else F.when(k == 2, F.col("gold")).otherwise((F.col("gold") + 21) % F.col("n")) if j == 3 else F.when(k == j, F.col("gold")).otherwise((F.col("gold") + 7 * (j + 1)) % F.col("n"))
+    return F.array(*[at(j) for j in range(12)])
+
+
+@query(_RANKS + " SELECT i, CAST(sum(CASE WHEN x < 0 THEN 1 ELSE 0 END) AS BIGINT) AS illegal, CAST(least(count(DISTINCT CASE WHEN x >= 0 THEN x END), 10) AS BIGINT) AS kept FROM x_p GROUP BY i")
+def prediction_filter(spark, sf_dir):
+    illegal, kept = ranking.filtered(_predicted(F.col("i") % 13), lambda v: v >= 0)
+    return samples_b(spark, sf_dir).select("i", illegal, kept).select("i", F.col("illegal").cast("long").alias("illegal"), F.size("kept").cast("long").alias("kept"))
+
+
+@query("SELECT conv_id, turn, 'see [PID:' || turn * 3 || '] then [PID:0] end ' || role AS text FROM conversations")
+def normalized_prompt(spark, sf_dir):
+    c = B.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    text = F.concat(F.lit("see  <a_"), "turn", F.lit("><b_1> \n then <a_0><b_1>end "), "role")
+    book = c.select("turn").union(spark.range(1)).distinct().select(F.concat(F.lit("<a_"), "turn", F.lit("><b_1>")).alias("sid"), (F.col("turn") * 3).alias("pid"))
+    keyed = c.select(F.struct("conv_id", "turn").alias("k"), text.alias("text"))
+    return codes.with_pids(keyed, book, "k", "text").select("k.*", "text")
+
+
+@query(f"SELECT CAST(sum(CASE WHEN cats > 1 THEN 1 ELSE 0 END) AS BIGINT) AS category_conflicts, CAST(sum(CASE WHEN coords > 1 THEN 1 ELSE 0 END) AS BIGINT) AS coordinate_conflicts, CAST(sum(n) - sum(visits) AS BIGINT) AS surplus FROM (SELECT p, count(DISTINCT (l1, l2)) AS cats, count(DISTINCT (lat, lon)) AS coords, count(*) AS n, count(DISTINCT (u, t)) AS visits FROM ({B.B_SQL}) GROUP BY p)")
+def conflict_counts(spark, sf_dir):
+    """Places with several categories or coordinates, and visits beyond the first of a (user, place, time)."""
+    per = B.visits_b(spark, sf_dir).groupBy("p").agg(F.count_distinct("l1", "l2").alias("cats"), F.count_distinct("lat", "lon").alias("coords"), F.count("*").alias("n"), F.count_distinct("u", "t").alias("visits"))
+    return per.agg(F.count_if(F.col("cats") > 1).alias("category_conflicts"), F.count_if(F.col("coords") > 1).alias("coordinate_conflicts"), (F.sum("n") - F.sum("visits")).alias("surplus"))
+
+
+@query("SELECT epoch, loss FROM (SELECT CAST(label AS BIGINT) AS epoch, count(*) % 3 AS loss FROM embeddings GROUP BY 1) ORDER BY loss, epoch LIMIT 1")
+def best_epoch(spark, sf_dir):
+    return ranking.best_epoch(B.table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("epoch")).agg((F.count("*") % 3).alias("loss")))
+
+
+@query(_GRID + " SELECT count(*) AS places, CAST(sum(CASE WHEN pid % 7 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS no_vector, CAST(sum(CASE WHEN pid % 20 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS no_code, CAST(0 AS BIGINT) AS repeated, CAST(sum(CASE WHEN pid % 20 <> 0 AND (b >= 40 OR a < 0 OR l1_label >= 40) THEN 1 ELSE 0 END) AS BIGINT) AS out_of_range, 64000 >= count(*) AS fits FROM code")
+def pipeline_contract(spark, sf_dir):
+    c = coded(spark, sf_dir)
+    return codes.contract(c, c.where("pid % 7 != 0"), c.where("pid % 20 != 0").select("pid", F.array("a", "b", "l1_label").alias("code")), 40)
+
+
+_BOOKS = "SELECT {layer} AS layer, a.vec_id % 8 AS k, list_transform(list_zip(a.embedding, b.embedding), lambda z: CAST(z[1] AS DOUBLE) + CAST(z[2] AS DOUBLE)) AS x FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 16 WHERE a.vec_id BETWEEN {lo} AND {hi}"
+_COSINE = f"books AS ({_BOOKS.format(layer=0, lo=0, hi=7)} UNION ALL {_BOOKS.format(layer=1, lo=8, hi=15)}), dirs AS (SELECT layer, k, list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) AS d FROM books), v0 AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
+
+
+def _layer(i: int, out: str) -> str:
+    return f"s{i} AS (SELECT vec_id, k, d, v, list_dot_product(v, d) AS s, row_number() OVER (PARTITION BY vec_id ORDER BY list_dot_product(v, d) DESC, k) AS r FROM v{i}, dirs WHERE layer = {i}), v{i + 1} AS (SELECT vec_id, {out} AS code, list_transform(list_zip(v, d), lambda z: z[1] - greatest(s, 0) * z[2]) AS v FROM s{i} WHERE r = 1)"
+
+
+@query(f"WITH {_COSINE}, {_layer(0, 'k')}, {_layer(1, 'k')} SELECT vec_id, v1.code || ',' || v2.code AS code FROM v1 JOIN v2 USING (vec_id)")
+def cosine_quantiser(spark, sf_dir):
+    from ..operators.vectors import cosine_codes
+
+    e = B.table(spark, sf_dir, "embeddings")
+    first = {r["vec_id"]: [float(x) for x in r["embedding"]] for r in e.where("vec_id < 32").collect()}  # the parameter: 16 entries
+    books = [[[x + y for x, y in zip(first[k], first[k + 16])] for k in range(lo, lo + 8)] for lo in (0, 8)]
+    found = cosine_codes(e.select(F.col("vec_id").alias("pid"), F.col("embedding").alias("v")), books)
+    return found.select(F.col("pid").alias("vec_id"), F.array_join(F.transform("code", lambda x: x.cast("string")), ",").alias("code"))
+
+
+def _scaled(table: str, key: str) -> str:
+    return f"SELECT r, c, q / (sum(q) OVER (PARTITION BY {key}) + 1e-8) AS q FROM ({table})"
+
+
+_SINKHORN = "SELECT vec_id AS r, j AS c, exp(-abs(CAST(embedding[j + 1] AS DOUBLE)) / (CAST(0.5 AS DOUBLE) + 1e-8)) AS q FROM embeddings, range(8) x(j)"
+for _key in "rcrcr":
+    _SINKHORN = _scaled(_SINKHORN, _key)
+
+
+@query(f"SELECT r, c, round(q, 7) AS q FROM ({_SINKHORN})")
+def sinkhorn_balance(spark, sf_dir):
+    from ..operators.vectors import sinkhorn
+
+    cells = B.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("r"), F.posexplode(F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double")))).alias("c", "d"))
+    return sinkhorn(cells.withColumn("c", F.col("c").cast("long")), 0.5, 2, _saver(spark)).withColumn("q", F.round("q", 7))
+
+
+@query()
+def unique_completion(spark, sf_dir):
+    places = trajectory.dense_ids(B.visits_b(spark, sf_dir), "p", "pid")
+    priors = places.select("pid", (F.col("pid") % 16).alias("a"), (F.col("pid") % 8).alias("b"), F.lit(0).cast("long").alias("c"))
+    return graph.unique_completion(priors, spark.range(0, 32 * 32, 5).select(F.col("id").alias("code")), 32, _saver(spark))
