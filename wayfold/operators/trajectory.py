@@ -72,19 +72,20 @@ def last_k(samples: DataFrame, k: int = 5) -> DataFrame:
 def dense_ids(keys: DataFrame, key: str, name: str) -> DataFrame:
     """0..n-1 in order of the distinct keys, without gathering them in one task.
 
-    Keys are range-partitioned and written with their partition to the shared folder, so a lost
+    Keys are range-partitioned, sorted and written with their place to the shared folder, so a lost
     executor cannot change who holds which key; only each partition's count goes to the driver, and
     a partition's numbers start where the earlier ones end.
     """
     spark = keys.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = keys.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct().repartitionByRange(n, key).withColumn("part", F.spark_partition_id())
-    ranged = Stage(spark).save(ranged, "keys")
-    counts = sorted((r["part"], r["count"]) for r in ranged.groupBy("part").count().collect())
+    ranged = keys.select(F.col(key).cast("string").alias(key)).where(F.col(key).isNotNull()).distinct().repartitionByRange(n, key).sortWithinPartitions(key)
+    # the partition in the upper bits, the place in it in the lower 33
+    place = F.monotonically_increasing_id()
+    saved = Stage(spark).save(ranged.withColumn("place", place), "keys").withColumn("part", F.shiftright("place", 33).cast("int"))
+    counts = sorted((r["part"], r["count"]) for r in saved.groupBy("part").count().collect())
     starts, total = [], 0
     for part, count in counts:
         starts.append((part, total))
         total += count
     offsets = spark.createDataFrame(starts, "part int, start long")
-    place = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
-    return ranged.join(F.broadcast(offsets), "part").select(key, (F.col("start") + place).alias(name))
+    return saved.join(F.broadcast(offsets), "part").select(key, (F.col("start") + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))).alias(name))
