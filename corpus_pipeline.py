@@ -22,9 +22,9 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines whose templates recur."""
+    """Documents without the lines whose templates recur over classes of near copies."""
     docs = docs.select(*COLUMNS)
-    changed = drop_recurring(docs)
+    changed = drop_recurring(docs, whole=True)
     same = with_ids(docs, changed, keep=False)
     cut = with_ids(docs, changed).drop("text", "n_chars").join(changed.select("doc_id", F.col("kept_text").alias("text")), "doc_id")
     return same.unionByName(cut.withColumn("n_chars", F.length("text").cast("long"))).select(*COLUMNS)

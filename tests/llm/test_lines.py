@@ -43,3 +43,17 @@ def test_same_as_counting_templates(spark):
     want = brute(rows, 10)
     assert want and {r.doc_id: (r.kept_text, r.n_lines, r.n_dropped) for r in got.collect()} == want
     assert lines.drop_recurring(spark.createDataFrame([], "doc_id long, text string, found int")).count() == 0
+
+
+def test_short_documents_and_lines_lose_what_recurs_but_copies_stay(spark):
+    word = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    boiler, short = "And there is a line", "Les."
+    rows = [(i, f"{boiler}\nonly {word(i)}") for i in range(12)]
+    rows += [(20 + i, "\n".join([short, "", f"{i + 100}", " ".join(word(i * 50 + j) for j in range(1, 8))])) for i in range(12)]
+    rows.append((40, boiler))
+    copied = "\n".join(" ".join(word(1000 + 9 * i + j) for j in range(9)) for i in range(20))
+    rows += [(50 + i, copied) for i in range(11)] + [(70 + i, copied + f"\nlast {word(i)} word") for i in range(11)]
+    got = lines.drop_recurring(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 10, whole=True)
+    want = {i: (f"only {word(i)}", 2, 1) for i in range(12)} | {40: ("", 1, 1)}
+    want |= {d: (t.removeprefix(short + "\n"), 4, 1) for d, t in rows if 20 <= d < 32}
+    assert {r.doc_id: (r.kept_text, r.n_lines, r.n_dropped) for r in got.collect()} == want

@@ -4,15 +4,21 @@ A line's path in the tree is its token count and its leading tokens; at the leaf
 constant tokens and generalises variable ones.  Tokens with a digit are variable everywhere; in
 lines of ``LONG`` tokens or more the tokens of even places, or those of odd places, may vary too, so
 such a line has two templates and lines that differ in one field share one.  Templates that occur in
-``min_docs`` documents or more are recurring, and their lines are dropped.  Documents in which such
-lines hold more than ``MOST`` of the words are copies of each other, not carriers of boilerplate;
-they are left whole for the near-duplicate step.
+``min_docs`` documents or more are recurring, and their lines are dropped.
+
+Lines of copied documents recur without being boilerplate.  With ``whole`` (as the query and the
+pipeline run it) a template is therefore counted once for each class of near copies, and recurring
+lines are dropped whatever their length and their share of the document.  Without it, documents in
+which recurring lines hold more than ``MOST`` of the words are left whole, and lines of fewer than
+``SHORT`` tokens are kept.
 
 Templates are hashes: chunks send each of theirs once with the number of its documents, sums decide
-which recur, and only documents that hold a recurring one are read again.
+which may recur, and only documents that hold one of those are sorted into classes and read again.
 
-Defined results: lines of fewer than ``SHORT`` tokens are always kept; a null or empty text stays as
-it is; rows without doc_id are counted but kept whole; other columns pass through unchanged.
+Defined results: blank lines are always kept; a line of fewer than ``SHORT`` tokens that all hold a
+digit has only itself as template; classes are the components of near copies (``WIDTH`` words,
+``PERCENT``) among the documents with a template of ``min_docs`` documents; a null or empty text
+stays as it is; rows without doc_id are counted but kept whole; other columns pass through unchanged.
 """
 
 from __future__ import annotations
@@ -21,11 +27,14 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .minhash import near_duplicates
 from .scratch import Scratch, parts, with_ids
 from .substrings import DEALT, GATHERED, RUN, _cuts, _gathered, _holders, _starts
 from .textkit import _PLACES, U64, mix, slices, to_bytes, word_hashes
 
 DEPTH, SHORT, LONG, MOST, MIN_DOCS = 2, 4, 8, 0.5, 10
+#: Near copies as the pipeline's near-duplicate step takes them.
+WIDTH, PERCENT = 5, 80
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 VARIABLE = U64(0x2A)
@@ -39,11 +48,13 @@ class Lines:
         data = np.frombuffer(buffer, np.uint8)
         hashes, starts, ends = word_hashes(buffer)
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-        hashes = np.where(digits[ends] > digits[starts], VARIABLE, hashes)
+        variable = digits[ends] > digits[starts]
         breaks = np.flatnonzero(data == 10)
         line = np.searchsorted(breaks, starts)
         n_lines = len(breaks) + 1
         self.tokens = np.bincount(line, minlength=n_lines)
+        bare = (self.tokens < SHORT) & (np.bincount(line[variable], minlength=n_lines) == self.tokens)
+        hashes = np.where(variable & ~bare[line], VARIABLE, hashes)
         first = np.concatenate([[0], np.cumsum(self.tokens)[:-1]])
         place = np.arange(len(hashes)) - np.repeat(first, self.tokens)
         terms = mix(hashes + _PLACES[place % 64] * (place // 64 + 1).astype(U64))
@@ -61,7 +72,7 @@ class Lines:
         return mix(sums + self.tokens.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(kind) * U64((1 << 61) - 1) * (self.tokens >= LONG).astype(U64))
 
 
-def _writer(n_parts: int):
+def _writer(n_parts: int, least: int):
     def write(batches):
         import pyarrow as pa
 
@@ -69,7 +80,7 @@ def _writer(n_parts: int):
             for batch in slices(whole, 8_000_000):
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 lines = Lines(to_bytes(batch.column("text")))
-                real = lines.tokens >= SHORT
+                real = lines.tokens >= least
                 both = np.concatenate([lines.keys[real], lines.other[real]])
                 docs = np.tile(lines.of_doc[real], 2)
                 order = np.lexsort((docs, both))
@@ -106,47 +117,99 @@ def _recurring(min_docs: int):
     return merge
 
 
-def _dropper(batches):
-    import pyarrow as pa
-
-    for whole in batches:
-        for batch in slices(whole):
-            raw = to_bytes(batch.column("text"))
-            lines = Lines(raw)
-            texts, n_lines, dropped = [], [], []
-            for i, (text, found) in enumerate(zip(raw, batch.column("found").to_pylist())):
-                a, b = lines.offsets[i], lines.offsets[i + 1]
-                tokens = lines.tokens[a:b]
-                shared = np.frombuffer(found, U64)
-                drop = (tokens >= SHORT) & (np.isin(lines.keys[a:b], shared) | np.isin(lines.other[a:b], shared))
-                if tokens[drop].sum() > MOST * tokens.sum():
-                    drop[:] = False
-                texts.append(b"\n".join([x for x, d in zip(text.split(b"\n"), drop.tolist()) if not d]) if drop.any() else text)
-                n_lines.append(b - a)
-                dropped.append(int(drop.sum()))
-            kept = pa.array(texts, pa.binary()).cast(pa.string())
-            yield pa.record_batch([batch.column("doc_id"), kept, pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64())], ["doc_id", "kept_text", "n_lines", "n_dropped"])
-
-
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def _of_classes(n_parts: int):
+    """The templates of documents, each once for a class in a batch, dealt to their hash ranges."""
+
+    def deal(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            found = [np.frombuffer(x, U64) for x in batch.column("found").to_pylist()]
+            if not found:
+                continue
+            h = np.concatenate(found)
+            c = np.repeat(batch.column("class_id").to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in found])
+            order = np.lexsort((c, h))
+            h, c = h[order], c[order]
+            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.zeros(0, bool)
+            h, c = h[new], c[new]
+            cuts = _cuts(h, n_parts)
+            rows = [(p, h[a:b].tobytes(), c[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "hashes", "classes"])
+
+    return deal
+
+
+def _over_classes(min_docs: int):
+    def merge(table):
+        import pyarrow as pa
+
+        h, c = (np.concatenate([np.frombuffer(x, t) for x in table.column(n).to_pylist()]) for n, t in (("hashes", U64), ("classes", np.int64)))
+        order = np.lexsort((c, h))
+        h, c = h[order], c[order]
+        h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])]
+        first = _starts(h)
+        found = h[first][np.diff(np.append(first, len(h))) >= min_docs]
+        return pa.table({"part": table.column("part")[:1], "shared": pa.array([found.tobytes()], pa.binary())})
+
+    return merge
+
+
+def _dropper(least: int, most: float):
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole):
+                raw = to_bytes(batch.column("text"))
+                lines = Lines(raw)
+                texts, n_lines, dropped = [], [], []
+                for i, (text, found) in enumerate(zip(raw, batch.column("found").to_pylist())):
+                    a, b = lines.offsets[i], lines.offsets[i + 1]
+                    tokens = lines.tokens[a:b]
+                    shared = np.frombuffer(found, U64)
+                    drop = (tokens >= least) & (np.isin(lines.keys[a:b], shared) | np.isin(lines.other[a:b], shared))
+                    if tokens[drop].sum() > most * tokens.sum():
+                        drop[:] = False
+                    texts.append(b"\n".join([x for x, d in zip(text.split(b"\n"), drop.tolist()) if not d]) if drop.any() else text)
+                    n_lines.append(b - a)
+                    dropped.append(int(drop.sum()))
+                kept = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.record_batch([batch.column("doc_id"), kept, pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64())], ["doc_id", "kept_text", "n_lines", "n_dropped"])
+
+    return run
+
+
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, whole: bool = False) -> DataFrame:
     """doc_id, kept_text, n_lines, n_dropped of the documents with recurring lines; all others have none."""
+    least, most = (1, 1.0) if whole else (SHORT, MOST)
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "lines"), parts(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    index = scratch.save(docs.mapInArrow(_writer(n), RUN), "templates")
+    index = scratch.save(docs.mapInArrow(_writer(n, least), RUN), "templates")
     shared = index.select("part", "hashes", "holders").groupBy("part").applyInArrow(_recurring(min_docs), "part int, shared binary")
     shared = scratch.save(shared.where(F.length("shared") > 0), "recurring")
-    held = index.join(shared, "part").select("run", "hashes", "docs", "holders", "shared").mapInArrow(_holders(0, n), DEALT)
-    held = scratch.save(held.groupBy("part").applyInArrow(_gathered, GATHERED).select("doc_id", "found"), "held")
+
+    def holders(shared: DataFrame, name: str) -> DataFrame:
+        held = index.join(shared, "part").select("run", "hashes", "docs", "holders", "shared").mapInArrow(_holders(0, n), DEALT)
+        return scratch.save(held.groupBy("part").applyInArrow(_gathered, GATHERED).select("doc_id", "found"), name)
+
+    held = holders(shared, "held")
+    if whole:
+        classes = near_duplicates(with_ids(docs, held), WIDTH, PERCENT).select("doc_id", F.col("component_id").alias("class_id"))
+        counted = held.join(classes, "doc_id").select("class_id", "found").mapInArrow(_of_classes(n), "part int, hashes binary, classes binary")
+        shared = counted.groupBy("part").applyInArrow(_over_classes(min_docs), "part int, shared binary")
+        held = holders(scratch.save(shared.where(F.length("shared") > 0), "over-classes"), "held-over-classes")
     scratch.drop("templates")
     found = with_ids(docs, held).dropDuplicates(["doc_id"]).join(held, "doc_id").select("doc_id", "text", "found")
-    out = found.mapInArrow(_dropper, "doc_id long, kept_text string, n_lines long, n_dropped long").where("n_dropped > 0")
+    out = found.mapInArrow(_dropper(least, most), "doc_id long, kept_text string, n_lines long, n_dropped long").where("n_dropped > 0")
     return scratch.save(out, "changed")
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("string"))
-    changed = drop_recurring(docs)
+    changed = drop_recurring(docs, whole=True)
     same = with_ids(docs, changed, keep=False)
     text = F.coalesce("text", F.lit(""))
     same = same.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.sha2(text, 256).alias("kept_sha256"))
