@@ -63,3 +63,32 @@ def test_compacted_runs_find_the_same(spark):
 def test_empty_table_and_other_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, hashes int, part int")
     assert remove_repeats(empty).count() == 0
+
+
+def test_rows_of_one_doc_id_keep_the_first_start(spark):
+    rows = corpus(5, 60)
+    r = random.Random(6)
+    passage = " ".join(f"p{r.randrange(9)}" for _ in range(50))
+    rows += [r.choice(rows[:40]) for _ in range(10)] + [(7, passage)] * 3 + [(7, "x " + passage + " y"), (7, None), (7, None), (500, passage)]
+    r.shuffle(rows)
+    want = sorted((d, *x) for d, *x in brute_rows(rows, 20))
+    for n, batches in ((1, 1), (5, 2), (30, 3)):
+        got = remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(n), batches=batches)
+        assert sorted((x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got.collect()) == want
+    assert any(d == 7 and n == 50 and not gone for d, n, gone, _ in want)
+
+
+def brute_rows(rows, window):
+    """As brute, with a row for each row; rows of one doc_id in order of their texts."""
+    seen, out = set(), []
+    for doc, text in sorted(rows, key=lambda x: (x[0], x[1] or "")):
+        words = WORD.findall(text or "")
+        drop = set()
+        for i in range(len(words) - window + 1):
+            w = tuple(words[i : i + window])
+            if w in seen:
+                drop.update(range(i, i + window))
+            seen.add(w)
+        kept = " ".join(x for i, x in enumerate(words) if i not in drop)
+        out.append((doc, len(words), len(drop), hashlib.sha256(kept.encode()).hexdigest()))
+    return out

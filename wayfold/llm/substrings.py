@@ -13,8 +13,8 @@ A hash that many documents share travels once for each chunk of documents, since
 knows all but its first holder to be repeats; no list of holders is ever gathered.
 
 Defined results: null, blank and short texts have no windows and lose nothing; rows that share a
-doc_id are judged as one document's; a row without doc_id loses only what repeats inside it; other
-columns are ignored.
+doc_id come one after another in order of their texts, so the first to hold a window keeps it; a row
+without doc_id loses only what repeats inside it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -216,6 +216,9 @@ def _windows(window: int, inner: int, n_parts: int):
                     continue
                 order = np.lexsort((ids[o], h))
                 h, o = h[order], o[order]
+                # rows of one doc_id hold a window once: none of them is later than another
+                own = np.concatenate([[True], (h[1:] != h[:-1]) | (ids[o[1:]] != ids[o[:-1]])])
+                h, o = h[own], o[own]
                 first = np.concatenate([[True], h[1:] != h[:-1]])
                 rows = []
                 later = ~first & fresh[o]
@@ -244,6 +247,8 @@ def _repeats(groups: int):
         h, d, f = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("hashes", U64), ("docs", np.int64), ("fresh", bool)))
         order = np.lexsort((d, h))
         h, d, f = h[order], d[order], f[order]
+        own = np.concatenate([[True], (h[1:] != h[:-1]) | (d[1:] != d[:-1])])
+        h, d, f = h[own], d[own], f[own]
         later = np.concatenate([[False], h[1:] == h[:-1]]) & f
         columns, names = _dealt(groups, d[later], h[later], f[later])
         return pa.table(columns, names)
@@ -333,10 +338,13 @@ def _dropping_group(merge):
     return lambda table: merge(table.drop_columns(["g"]))
 
 
-def _remover(window: int):
+def _remover(window: int, together: bool = False):
+    """Texts without repeats; ``together`` takes all rows as one document's, in the order they come."""
+
     def run(batches):
         import pyarrow as pa
 
+        before = np.zeros(0, U64)
         for whole in batches:
             for batch in slices(whole):
                 words = Batch(to_bytes(batch.column("text")))
@@ -351,6 +359,9 @@ def _remover(window: int):
                         hit[np.unique(own, return_index=True)[1]] = False
                         if lists[i]:
                             hit |= np.isin(own, np.concatenate([np.frombuffer(x, U64) for x in lists[i]]))
+                        if together:
+                            hit |= np.isin(own, before)
+                            before = np.union1d(before, own)
                         if hit.any():
                             steps = np.zeros(b - a + 1, np.int64)
                             at = np.flatnonzero(hit)
@@ -370,6 +381,17 @@ def _remover(window: int):
     return run
 
 
+def _rows_of_one(window: int):
+    """All rows of a doc_id, each without what the ones before it hold."""
+
+    def run(table):
+        import pyarrow as pa
+
+        return pa.Table.from_batches(_remover(window, True)(table.sort_by("text").combine_chunks().to_batches()))
+
+    return run
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, inner: int = INNER, batches: int = BATCHES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept_text: every document without the windows that start earlier."""
     spark = docs.sparkSession
@@ -385,9 +407,17 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, inner: int = INNER, ba
     repeats = index.scratch.save(found.groupBy("doc_id").agg(F.collect_list("hashes").alias("hashes")), "repeats")
     out = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
     none = F.lit(None).cast("array<binary>").alias("hashes")
-    clean = with_ids(docs, repeats, keep=False).select("doc_id", "text", none).mapInArrow(_remover(window), out)
-    cut = with_ids(docs, repeats).join(repeats, "doc_id").select("doc_id", "text", "hashes").mapInArrow(_remover(window), out)
-    return clean.union(cut)
+    several = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    several = index.scratch.save(several, "several")
+    single = docs
+    if not several.isEmpty():
+        single = with_ids(docs, several, keep=False)
+    clean = with_ids(single, repeats, keep=False).select("doc_id", "text", none).mapInArrow(_remover(window), out)
+    cut = with_ids(single, repeats).join(repeats, "doc_id").select("doc_id", "text", "hashes").mapInArrow(_remover(window), out)
+    if single is docs:
+        return clean.union(cut)
+    rows = with_ids(docs, several).join(repeats, "doc_id", "left").select("doc_id", "text", "hashes")
+    return clean.union(cut).union(rows.groupBy("doc_id").applyInArrow(_rows_of_one(window), out))
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
