@@ -30,3 +30,15 @@ def test_broken_markup(spark):
     for page in ("<p", "<a href='x", "<script>x", "</div></p>a", "<div class=\"x>a</div>", "<!-- open", "&#0;&#x110000;&nope;a"):
         html.best_container(*html.parse(page))
     assert texts(spark, []) == {}
+
+
+def test_text_beside_the_inner_container_stays(spark):
+    long = "long story " * 60
+    nested = "<h1>Head</h1><p>{1}</p><div class=body><div class=i><div class=j><p>{0}</p></div><p>{1}</p></div><p>{1}</p></div>"
+    closing = "<section class=closing><p>The end</p></section>"
+    lead = "lead words " * 10
+    want = " ".join(["Head", *(lead + long + lead * 2).split()])
+    bodies = {1: f"<article>{nested}{closing}</article>", 2: f"<div class=page>{nested}</div>", 3: f"<div class=page>{nested}</div>{closing}", 4: f"<article>{nested}</article><p>Beside it</p>"}
+    pages = [(i, f"http://{i}.example/{n}", SHELL.format(b.format(long, lead)), 0) for i, b in bodies.items() for n in range(2)]
+    got = texts(spark, pages)
+    assert {i: got[i][0] for i in bodies} == {1: want + " The end", 2: want, 3: want, 4: want}

@@ -2,7 +2,8 @@
 
 First pass: each page is cut into elements; the text each element holds (without menus, notices and
 the like) gives its score, and the page votes for the generalised tag-class path of its best
-container: the deepest one that still holds most of the text.  Votes are summed in Spark by (host,
+container: the deepest one that still holds most of the page's text, widened to what stands beside
+it and belongs to the article (headings and paragraphs, or all of an article element).  Votes are summed in Spark by (host,
 path), partial sums first, and every host's strongest path wins.  Second pass: each page's text is
 taken from the elements on its host's path, or from its own best container where it has none.
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .scratch import BROADCAST_IDS, Scratch
 from .textkit import slices
 
-#: Share of the page's text that a container must hold to be chosen over its parent.
+#: Share of the whole page's text that a container must hold to be chosen.
 SHARE = 0.8
 #: Words of a class or an id that generalise to one digit class, and what a path keeps of them.
 _DIGITS = re.compile(r"\d+")
@@ -147,7 +148,7 @@ def parse(page: str):
 
 
 def best_container(blocks, elements) -> Element:
-    """The deepest container that holds most of the text outside barred elements."""
+    """The deepest container that holds most of the page's text outside barred elements, widened to its article."""
     for text, element in blocks:
         if not element.barred:
             while element is not None:
@@ -155,17 +156,36 @@ def best_container(blocks, elements) -> Element:
                 element = element.parent
     best = elements[0]
     for e in elements[1:]:
-        if not e.barred and e.tag in CONTAINERS and e.chars and e.chars >= SHARE * best.chars and e.parent is not None and _inside(e, best):
+        # each holds most of the page, so they lie inside each other
+        if not e.barred and e.tag in CONTAINERS and e.chars and e.chars >= SHARE * elements[0].chars:
             best = e
+    return _widened(best, blocks)
+
+
+def _widened(best: Element, blocks) -> Element:
+    """The highest container around ``best`` that adds text of the article only; none beyond an article element."""
+    above, e = [], best.parent
+    while e is not None:
+        above.append(e)
+        e = e.parent
+    articles = [e for e in [best, *above] if e.tag == "article" and not e.barred]
+    if articles:
+        return articles[-1]
+    for e in above:
+        if (e.tag in CONTAINERS or e.parent is None) and e.chars > best.chars:
+            added = [x for at in (range(e.first, best.first), range(best.last, e.last)) for _, x in blocks[at.start : at.stop] if not x.barred]
+            if all(_plain(x, e) for x in added):
+                best = e
     return best
 
 
-def _inside(element: Element, other: Element) -> bool:
-    while element is not None:
-        if element is other:
-            return True
+def _plain(element: Element, inside: Element) -> bool:
+    """Whether a block is a heading, a paragraph or the like of a container, not of another one in it."""
+    while element is not inside:
+        if element.tag in CONTAINERS:
+            return False
         element = element.parent
-    return False
+    return True
 
 
 def _text(blocks, chosen: list[Element]) -> str:
