@@ -159,3 +159,21 @@ def test_files(tmp_path):
     before = files.fingerprint(str(tmp_path))
     files.write_report({"x": 2}, a)
     assert files.fingerprint(str(tmp_path)) != before
+
+
+def test_degree_cap_of_swing_pairs_ties_by_distance(spark):
+    from wayfold.plans import bind, queries
+
+    sf = "/root/testdata/sf0.01"
+    items, places = bind.covisit_items(spark, sf), bind.covisit_places(spark, sf)
+    scored = graph.distances(graph.swing(items, places).withColumn("score", F.round("score", 9)), places).collect()
+    want, degree = set(), {}
+    for x in sorted(scored, key=lambda x: (-x.score, x.km, x.l, x.r)):
+        if degree.get(x.l, 0) < 50 and degree.get(x.r, 0) < 50:
+            want.add((x.l, x.r))
+            degree[x.l], degree[x.r] = degree.get(x.l, 0) + 1, degree.get(x.r, 0) + 1
+    got = queries.degree_capped_pairs(spark, sf).collect()
+    assert {(x.l, x.r) for x in got} == want and len(got) == len(want)
+    edges = [(1, 2, 1.0, 2.0), (1, 3, 1.0, 1.0), (2, 4, 0.5, 0.1)]
+    got = graph.degree_capped(spark.createDataFrame(edges, "l long, r long, score double, km double"), 1, sinks.Stage(spark).save)
+    assert {(x.l, x.r) for x in got.collect()} == {(1, 3), (2, 4)}

@@ -472,8 +472,10 @@ def _saver(spark):
 
 @query()
 def degree_capped_pairs(spark, sf_dir):
-    pairs = graph.covisits(B.covisit_items(spark, sf_dir), 4).select("l", "r", F.col("users").cast("double").alias("score"))
-    return graph.degree_capped(pairs, 5, _saver(spark))
+    # sums of the same terms in another order must tie, so that the distance decides
+    places = B.covisit_places(spark, sf_dir)
+    pairs = graph.swing(B.covisit_items(spark, sf_dir), places).select("l", "r", F.round("score", 9).alias("score"))
+    return graph.degree_capped(graph.distances(pairs, places), 50, _saver(spark))
 
 
 @query()
