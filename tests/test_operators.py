@@ -177,3 +177,24 @@ def test_degree_cap_of_swing_pairs_ties_by_distance(spark):
     edges = [(1, 2, 1.0, 2.0), (1, 3, 1.0, 1.0), (2, 4, 0.5, 0.1)]
     got = graph.degree_capped(spark.createDataFrame(edges, "l long, r long, score double, km double"), 1, sinks.Stage(spark).save)
     assert {(x.l, x.r) for x in got.collect()} == {(1, 3), (2, 4)}
+
+
+def test_cpt_corpus_has_four_templates_and_counts_what_it_skips(spark):
+    from wayfold.operators import corpus
+
+    places = spark.createDataFrame([(1, 40.0, -73.0, "Food", "Cafe"), (2, 40.1, -73.1, "Travel", "Station")], "pid long, lat double, lon double, l1 string, l2 string")
+    sids = spark.createDataFrame([(1, "<a_0><b_0><c_0>"), (2, "<a_0><b_0><c_1>")], "pid long, sid string")
+    golden = [("[1, 2]", "['t1', 't2']")]
+    bad = [("[1, 2", "['t1', 't2']"), ("[1, 2]", "['t1']"), ("[]", "[]"), ("[1, 9]", "['t1', 't2']"), (None, "[]")]
+    for given, skipped in ((golden, (0, 0, 0)), (golden + bad, (2, 2, 1))):
+        rows, report = corpus.cpt_corpus(places, sids, spark.createDataFrame(given, "seq string, times string"), sinks.Stage(spark).save)
+        found = [(r.template, r.text) for r in rows.collect()]
+        assert len(found) == 7 and len({t for t, _ in found}) == 4
+        assert (corpus.TRAJECTORY, "User behavior trajectory modeling. Chronological POI visits: t1 visited <a_0><b_0><c_0>, t2 visited <a_0><b_0><c_1>.") in found
+        about = "POI coordinates: latitude 40.000000, longitude -73.000000; geohash: dr5r0rb"
+        assert sum(about[:60] in x and "category level 1: Food; category level 2: Cafe." in x and "<a_0><b_0><c_0>" in x for _, x in found) == 3
+        counts = {r.name: r.n for r in report.collect()}
+        assert tuple(counts[f"skipped_{x}"] for x in ("parse", "shape", "unknown_poi")) == skipped
+        assert (counts["catalog_pois"], counts["train_sequence_rows"], counts["samples"], counts["template_poi_qa_definition"]) == (2, len(given), 7, 2)
+    with pytest.raises(ValueError):
+        corpus.cpt_rows(places, sids.where("pid = 1"))

@@ -299,6 +299,27 @@ def cpt_corpus(spark, sf_dir):
     return c.select(F.inline(rows)).groupBy("template").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 
+def _cpt(spark, sf_dir):
+    """Rows and report of the four templates over the places, their SIDs and the train sequences."""
+    from ..operators import corpus
+
+    save = _saver(spark)
+    places = save(coded(spark, sf_dir).select(F.col("p").alias("pid"), "lat", "lon", "l1", "l2", C.sid_tokens(F.array("a", "b", "l1_label", "l2_label", "e")).alias("sid")), "places")
+    train = trajectory.rolling(states_b(spark, sf_dir).where(F.col("t") <= trajectory.bound(B.B_TRAIN)))
+    local = lambda t: F.date_format(t + F.expr("INTERVAL 480 MINUTES"), "yyyy-MM-dd HH:mm:ss")
+    return corpus.cpt_corpus(places.drop("sid"), places.select("pid", "sid"), train.select("seq", F.transform("times", local).alias("times")), save)
+
+
+@query()
+def cpt_records(spark, sf_dir):
+    return _cpt(spark, sf_dir)[0]
+
+
+@query()
+def cpt_report(spark, sf_dir):
+    return _cpt(spark, sf_dir)[1]
+
+
 @query("SELECT count(*) AS missing FROM (SELECT DISTINCT l_suppkey FROM lineitem) WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_suppkey % 10 <> 0)")
 def missing_pid_check(spark, sf_dir):
     book = B.table(spark, sf_dir, "supplier").where("s_suppkey % 10 != 0")
