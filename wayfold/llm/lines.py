@@ -8,7 +8,8 @@ such a line has two templates and lines that differ in one field share one.  Tem
 
 Lines of copied documents recur without being boilerplate.  With ``whole`` (as the query and the
 pipeline run it) a template is therefore counted once for each class of near copies, and recurring
-lines are dropped whatever their length and their share of the document.  Without it, documents in
+lines are dropped whatever their length and their share, but a document that would be left without a
+word stays whole.  Without it, documents in
 which recurring lines hold more than ``MOST`` of the words are left whole, and lines of fewer than
 ``SHORT`` tokens are kept.
 
@@ -170,7 +171,7 @@ def _dropper(least: int, most: float):
                     tokens = lines.tokens[a:b]
                     shared = np.frombuffer(found, U64)
                     drop = (tokens >= least) & (np.isin(lines.keys[a:b], shared) | np.isin(lines.other[a:b], shared))
-                    if tokens[drop].sum() > most * tokens.sum():
+                    if tokens[drop].sum() > most * tokens.sum() or tokens[drop].sum() == tokens.sum():
                         drop[:] = False
                     texts.append(b"\n".join([x for x, d in zip(text.split(b"\n"), drop.tolist()) if not d]) if drop.any() else text)
                     n_lines.append(b - a)
