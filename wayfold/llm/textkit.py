@@ -2,46 +2,29 @@
 
 A word is a maximal run of bytes outside space and \\t \\n \\v \\f \\r (``bytes.split()`` on UTF-8
 cuts at the same places).  No Python object is made per word: a batch is one byte buffer, a word's
-hash is a difference of prefix sums over that buffer, and a window's hash is a sum of word hashes
-with one multiplier per place.
+hash runs over its eight-byte lanes with a bijective finaliser after each (words of over 32 bytes
+take XXH3), and a window's hash is a sum of word hashes with one multiplier per place.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 U64 = np.uint64
 _random = np.random.default_rng(0x5EED_0F7A)
-#: A 64-bit value for each byte, an odd base for the place in a word, and odd multipliers for the
-#: place in a window; fixed, so that hashes stored by an earlier run stay comparable.
-_BYTE = _random.integers(1, 2**63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = int(_random.integers(1, 2**63, dtype=np.uint64)) * 2 + 1
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
+#: Odd multipliers for the place in a window and for the eight-byte lanes of a word; fixed, so that
+#: hashes stored by an earlier run stay comparable.
 _PLACES = _random.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
+_LANES = _random.integers(1, 2**63, 4, dtype=np.uint64) * U64(2) + U64(1)
+_LENGTH = U64(0x9E3779B97F4A7C15)
+_KEEP = np.array([2 ** (8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes hashed at a time; a piece ends at white space, and only a longer word makes a longer piece.
 _PIECE = 1 << 19
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(n: int):
-    """Powers of the base and of its inverse, kept for the usual piece only."""
-    size = max(2 * _PIECE, n + 1)
-    if size not in _powers:
-
-        def made(base: int) -> np.ndarray:
-            factors = np.full(size, U64(base % 2**64))
-            factors[0] = 1
-            return np.multiply.accumulate(factors)
-
-        tables = made(_BASE), made(_BASE_INVERSE)
-        if size > 2 * _PIECE:
-            return tables
-        _powers[size] = tables
-    return _powers[size]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -54,13 +37,29 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def _lane(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place, out of a buffer read as 64-bit words."""
+    i, bits = at >> 3, (at & 7).astype(U64) << U64(3)
+    return words[i] >> bits | words[i + 1] << U64(1) << (U64(63) - bits)
+
+
 def _hash_piece(piece: np.ndarray, space: np.ndarray):
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts, ends = edge[::2], edge[1::2]
-    powers, inverse = _power_tables(len(piece))
-    sums = np.zeros(len(piece) + 1, U64)
-    np.cumsum(_BYTE[piece] * powers[: len(piece)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts]), starts, ends
+    n = ends - starts
+    words = np.zeros(len(piece) // 8 + 3, U64)
+    words.view(np.uint8)[: len(piece)] = piece
+    # each lane goes through the finaliser before the next is added, so no sum of bytes can cancel
+    h = mix((_lane(words, starts) & _KEEP[np.minimum(n, 8)]) + n.astype(U64) * _LENGTH)
+    for k in range(1, len(_LANES)):
+        more = np.flatnonzero(n > 8 * k)
+        if not len(more):
+            break
+        lane = _lane(words, starts[more] + 8 * k) & _KEEP[np.minimum(n[more] - 8 * k, 8)]
+        h[more] = mix(h[more] ^ (lane + U64(k)) * _LANES[k])
+    for i in np.flatnonzero(n > 8 * len(_LANES)).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(piece[starts[i] : ends[i]].tobytes(), 0x5EED)
+    return h, starts, ends
 
 
 def word_hashes(buffer: bytes, lower: bool = False):
