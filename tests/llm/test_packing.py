@@ -21,7 +21,30 @@ def test_units_encode_like_the_tokenizer():
     texts += [r.choice([" ", "\n", " ", "\n\n"]).join(r.choice(words) for _ in range(r.randint(1, 12))) + r.choice(["", "", "\n", " "]) for _ in range(2000)]
     texts += ["\n".join(" ".join(r.choice(words[:3] + words[6:9]) for _ in range(5)) for _ in range(3)) for _ in range(500)]
     want = [np.array(e.ids, "<u4").tobytes() for e in own.encode_batch(texts, add_special_tokens=False)]
-    assert packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode(texts) == want
+    found = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    assert found.merger is not None
+    assert [x.tobytes() for x in found.encode(texts)] == want
+
+
+def test_long_runs_and_other_vocabularies():
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    found = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in [c * 1_200_000 for c in " \n　x1^"] + ["a" + " " * 49_999 + "b " * 30_000]:
+        assert found.encode([text])[0].tolist() == own.encode(text, add_special_tokens=False).ids
+    other = packing.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    assert other.merger is None
+    want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want.encode_special_tokens = True
+    assert other.encode(["Two words"])[0].tolist() == want.encode("Two words", add_special_tokens=False).ids
+
+
+def test_every_character_encodes_like_the_tokenizer():
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    own.encode_special_tokens = True
+    found = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(f"a{chr(c)}b {chr(c)}1{chr(c)}!{chr(c)}{chr(c)} " for c in points[i : i + 64]) for i in range(0, len(points), 64)]
+    assert [x.tolist() for x in found.encode(texts)] == [e.ids for e in own.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_curve_visits_neighbouring_cells():
@@ -31,6 +54,28 @@ def test_curve_visits_neighbouring_cells():
     assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(1) == 1).all()
 
 
+def test_rows_do_not_depend_on_partitions(spark):
+    """Repeated rows, equal keys, a null id and clashing columns; the order is the curve's, found again by sorting."""
+    r = random.Random(5)
+    rows = [(r.randrange(60), " ".join(r.choice(["the", "of", "ñandú", "x1"]) for _ in range(r.randint(0, 400))), 1) for _ in range(150)] + [(7, "same text", 1)] * 30 + [(None, "no id", 2), (None, None, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key long").coalesce(1)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    for n in ("3", "11"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        found.append(sorted(packing.pack(docs, ids=True).collect(), key=lambda p: (p.sequence_id, p.offset)))
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1]
+    encode = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json")).encode
+    keys = packing.curve_keys([(t or "").encode() for _, t, _ in rows])
+    order = sorted(range(len(rows)), key=lambda i: (keys[i], rows[i][0] is not None, rows[i][0] or 0, i))
+    stream = b"".join(np.append(x, 1).astype("<u4").tobytes() for x in encode([rows[i][1] or "" for i in order]))
+    assert b"".join(p.ids for p in found[0]) == stream
+    sizes = [sum(p.length for p in found[0] if p.sequence_id == s) for s in range(found[0][-1].sequence_id + 1)]
+    total, left = len(stream) // 4, len(stream) // 4 % 2048
+    assert sizes == [2048] * (total // 2048) + [1 << b for b in range(10, -1, -1) if left >> b & 1]
+
+
 def test_pieces_rebuild_documents(spark):
     own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     r = random.Random(1)

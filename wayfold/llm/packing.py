@@ -1,21 +1,26 @@
 """Packing in the order of a space-filling curve.
 
 A document's vector is the mean of hashed word projections in four dimensions; its place along a
-Hilbert curve through that space is its key.  Documents are range-sorted by (key, doc_id), so equal
-keys still spread over many partitions, and each partition lays its documents end to end into
-sequences of ``LENGTH`` tokens, so neighbours along the curve share sequences.  What is left at the
-end of a partition becomes sequences whose lengths are powers of two, which need no padding.
-
-The cheap key is all that the range sampling recomputes; texts are shuffled, and each is tokenised
-once after the shuffle.  White space separates what the tokeniser merges, so the ids of a word with
-its leading space are remembered, and only words not seen before go through the tokeniser.
-
-Defined results: a null or empty text is its end token alone; equal keys are ordered by doc_id;
-other columns are ignored.
+Hilbert curve through that space is its key.  Each text is read once, for its key and its token ids,
+which are written; the written rows are range-sorted by (key, doc_id, row), so equal keys still
+spread over many partitions, and written again with the place of each document's first token in its
+partition.  The partitions' totals (one number each) give its place in the whole stream, so where a
+document is cut depends on the order alone: sequences hold ``LENGTH`` tokens, neighbours along the
+curve share them, and the same table gives the same rows whatever the partitions.  Only the very end
+of the stream becomes sequences whose lengths are powers of two, which need no padding.
+
+Ids are those of the ``tokenizers`` file.  Where that is byte-level byte-pair merging in rank order,
+``tiktoken`` applies the same ranks, which gives equal ids at a third of the time; a text with a
+run of white space too long for it goes through ``tokenizers`` itself.
+
+Defined results: a null or empty text is its end token alone; equal keys are ordered by doc_id (null
+first), then by row; repeated rows are packed each; an empty table gives no pieces; other columns
+are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -29,11 +34,11 @@ from .textkit import U64, Batch, slices, to_bytes
 
 LENGTH, END_ID = 2048, 1
 DIMENSIONS, BITS = 4, 10
-#: Words with their ids that a worker remembers (about 200 MB) before it starts afresh.
-REMEMBERED = 1_300_000
-_WS = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: A word with one space before it, or white space up to the last character before a word.
-UNITS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+#: The pattern that byte-level pre-tokenising cuts texts by (fixed values).
+WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: A run of white space that overflows the stack of the faster library's pattern is several times longer.
+BLANK_RUN = 50_000
+_LONG_RUN = re.compile(rf"\s{{{BLANK_RUN}}}")
 
 
 def hilbert(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
@@ -74,17 +79,8 @@ def curve_keys(texts: list[bytes]) -> np.ndarray:
     return hilbert(cells)
 
 
-def _keyed(batches):
-    import pyarrow as pa
-
-    for whole in batches:
-        for batch in slices(whole):
-            keys = curve_keys(to_bytes(batch.column("text")))
-            yield pa.record_batch([batch.column("doc_id"), batch.column("text"), pa.array(keys, pa.int64())], ["doc_id", "text", "key"])
-
-
 class Encoder:
-    """Token ids of texts as little-endian 32-bit bytes, equal to the tokeniser's own."""
+    """Token ids of texts as arrays of 32-bit integers, equal to the ``tokenizers`` file's own."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -92,81 +88,132 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        known, units = self.known, [UNITS.findall(t) for t in texts]
-        new = list(set().union(*units).difference(known))
-        for u, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            known[u] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, own)) for own in units]
+        ranks = _ranks(path)
+        self.merger = None
+        if ranks:
+            import tiktoken
+
+            self.merger = tiktoken.Encoding("own", pat_str=WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self.merger is None:
+            return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [self._slow(t) if len(t) >= BLANK_RUN and _LONG_RUN.search(t) else np.array(self.merger.encode_ordinary(t), "<u4") for t in texts]
+
+    def _slow(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+
+def _ranks(path: str) -> dict[bytes, int] | None:
+    """Byte strings by id, if the file is plain byte-level merging whose ids rise with the merges."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+    if not plain or spec.get("normalizer") or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True):
+        return None
+    # printable bytes stand for themselves, the others for the code points from 256 on, in order
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    letters = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(shown))}
+    vocabulary = model["vocab"]
+    merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+    if any(vocabulary.get("".join(m)) != 256 + i for i, m in enumerate(merges)):
+        return None
+    ids = {t: i for t, i in vocabulary.items() if i < 256 + len(merges)}
+    return {bytes(letters[c] for c in t): i for t, i in ids.items()} if all(c in letters for t in ids for c in t) else None
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def _encoder(path: str) -> Encoder:
-    """One encoder for each worker process: later tasks find its vocabulary and its words in place."""
+    """One encoder for each worker process: later tasks find its vocabulary in place."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
 
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+def _kind(path: str, end_id: int) -> str:
+    """The type in which ids are written between the steps: 16 bits where the vocabulary allows."""
+    from tokenizers import Tokenizer
 
+    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
 
-def _packer(path: str, length: int, end_id: int, with_ids: bool):
-    end = np.array([end_id], "<u4").tobytes()
+
+def _tokenised(path: str, end_id: int, kind: str):
+    end = np.array([end_id], "<u4")
 
     def run(batches):
         import pyarrow as pa
+
+        encoder = _encoder(path)
+        for whole in batches:
+            for batch in slices(whole, 1_000_000):
+                keys = curve_keys(to_bytes(batch.column("text")))
+                ids = [np.concatenate([x, end]).astype(kind).tobytes() for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
+
+    return run
+
+
+def _placed(kind: str):
+    """Rows of a partition in order, with the partition's number and the tokens before each."""
+    size = np.dtype(kind).itemsize
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 40
-        encoder, sequence, room, rows = _encoder(path), 0, length, []
+        part, before = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ids = batch.column("ids")
+            n = np.array(pc.binary_length(ids).to_numpy(zero_copy_only=False), np.int64) // size
+            at = before + np.cumsum(n) - n
+            before += int(n.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), part), pa.int32()), pa.array(at), pa.array(n), batch.column("doc_id"), ids], ["part", "at", "n", "doc_id", "ids"])
+
+    return run
 
-        def piece(doc, start, ids, total, offset, extra=0):
-            row = (doc, start, len(ids) // 4, zlib.crc32(ids), total, base + sequence + extra, offset)
-            return (*row, ids)
 
-        def record(found):
-            kinds = [pa.int64()] * 7 + [pa.binary()]
-            columns = [pa.array(c, t) for c, t in zip(zip(*found), kinds)]
-            return pa.RecordBatch.from_arrays(columns[: 8 if with_ids else 7], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"][: 8 if with_ids else 7])
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
+
+def _cutter(base: dict[int, int], total: int, length: int, with_ids: bool, kind: str):
+    """Pieces of each document from its place in the stream of ``total`` tokens."""
+    whole_sequences = total // length
+    # where the sequences after the whole ones begin: falling powers of two
+    ends, left = [whole_sequences * length], total % length
+    while left:
+        size = 1 << (left.bit_length() - 1)
+        ends.append(ends[-1] + size)
+        left -= size
+    tail = np.array(ends)
+
+    def run(batches):
+        import pyarrow as pa
+
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + (["ids"] if with_ids else [])
         for whole in batches:
-            for batch in slices(whole, 1_000_000):
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                done = []
-                for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts)):
-                    ids += end
-                    total, at = len(ids) // 4, 0
-                    while at < total:
-                        take = min(room, total - at)
-                        rows.append(piece(doc, at, ids[4 * at : 4 * (at + take)], total, length - room))
-                        at, room = at + take, room - take
-                        if not room:
-                            done += rows
-                            rows, room, sequence = [], length, sequence + 1
-                if done:
-                    yield record(done)
-        # the open sequence is cut into sequences of falling powers of two
-        last, left, extra = [], length - room, 0
-        size = 1 << (left.bit_length() - 1) if left else 0
-        used = 0
-        for doc, start, n, _, total, _, _, ids in rows:
-            at = 0
-            while at < n:
-                take = min(size - used, n - at)
-                last.append(piece(doc, start + at, ids[4 * at : 4 * (at + take)], total, used, extra))
-                at, used = at + take, used + take
-                if used == size:
-                    left -= size
-                    size, used, extra = 1 << (left.bit_length() - 1) if left else 0, 0, extra + 1
-        if last:
-            yield record(last)
+            for batch in slices(whole):
+                rows = []
+                for part, at, n, doc, ids in zip(*(batch.column(c).to_pylist() for c in ("part", "at", "n", "doc_id", "ids"))):
+                    first = place = base[part] + at
+                    ids = np.frombuffer(ids, kind).astype("<u4").tobytes()
+                    while place < first + n:
+                        if place < tail[0]:
+                            sequence, begin = divmod(place, length)
+                            begin, end = place - begin, place - begin + length
+                        else:
+                            k = int(np.searchsorted(tail, place, "right"))
+                            sequence, begin, end = whole_sequences + k - 1, int(tail[k - 1]), int(tail[k])
+                        take = min(end, first + n) - place
+                        own = ids[4 * (place - first) : 4 * (place - first + take)]
+                        rows.append((doc, place - first, take, zlib.crc32(own), n, sequence, place - begin, own)[: len(names)])
+                        place += take
+                kinds = [pa.int64()] * 7 + [pa.binary()]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
 
     return run
 
@@ -179,11 +226,20 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    spark = docs.sparkSession
-    Scratch(spark, "packing")
-    keyed = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_keyed, "doc_id long, text string, key long")
-    ordered = keyed.repartitionByRange(parts(spark), "key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "text")
-    return ordered.mapInArrow(_packer(tokenizer, length, end_id, ids), PIECES + (", ids binary" if ids else ""))
+    scratch, kind = Scratch(docs.sparkSession, "packing"), _kind(tokenizer, end_id)
+    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    keyed = chosen.mapInArrow(_tokenised(tokenizer, end_id, kind), "doc_id long, key long, ids binary").withColumn("row", F.monotonically_increasing_id())
+    keyed = scratch.save(keyed, "tokens")
+    order = ("key", "doc_id", "row")
+    ranged = keyed.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    placed = scratch.save(ranged.mapInArrow(_placed(kind), "part int, at long, n long, doc_id long, ids binary"), "stream")
+    scratch.drop("tokens")
+    # one number for each partition
+    totals = dict(placed.groupBy("part").agg(F.sum("n")).collect())
+    base, total = {}, 0
+    for part in sorted(totals):
+        base[part], total = total, total + totals[part]
+    return placed.mapInArrow(_cutter(base, total, length, ids, kind), PIECES + (", ids binary" if ids else ""))
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
