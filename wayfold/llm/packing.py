@@ -34,6 +34,8 @@ from .textkit import U64, Batch, slices, to_bytes
 
 LENGTH, END_ID = 2048, 1
 DIMENSIONS, BITS = 4, 10
+#: Bytes of ids in one range at most, about; small inputs take as many ranges as shuffle partitions.
+RANGE_BYTES = 64 << 20
 #: The pattern that byte-level pre-tokenising cuts texts by (fixed values).
 WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A run of white space that overflows the stack of the faster library's pattern is several times longer.
@@ -151,7 +153,8 @@ def _tokenised(path: str, end_id: int, kind: str):
             for batch in slices(whole, 1_000_000):
                 keys = curve_keys(to_bytes(batch.column("text")))
                 ids = [np.concatenate([x, end]).astype(kind).tobytes() for x in encoder.encode([t or "" for t in batch.column("text").to_pylist()])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "ids"])
+                n = [len(x) // np.dtype(kind).itemsize for x in ids]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "key", "n", "ids"])
 
     return run
 
@@ -228,10 +231,12 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
     scratch, kind = Scratch(docs.sparkSession, "packing"), _kind(tokenizer, end_id)
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = chosen.mapInArrow(_tokenised(tokenizer, end_id, kind), "doc_id long, key long, ids binary").withColumn("row", F.monotonically_increasing_id())
+    keyed = chosen.mapInArrow(_tokenised(tokenizer, end_id, kind), "doc_id long, key long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
     keyed = scratch.save(keyed, "tokens")
     order = ("key", "doc_id", "row")
-    ranged = keyed.repartitionByRange(parts(docs.sparkSession), *order).sortWithinPartitions(*order).select("doc_id", "ids")
+    written = keyed.agg(F.sum("n")).first()[0] or 0
+    ranges = max(parts(docs.sparkSession), written * np.dtype(kind).itemsize // RANGE_BYTES)
+    ranged = keyed.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "ids")
     placed = scratch.save(ranged.mapInArrow(_placed(kind), "part int, at long, n long, doc_id long, ids binary"), "stream")
     scratch.drop("tokens")
     # one number for each partition
