@@ -8,20 +8,42 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session, which driver and executors share.
+
+    Where it is unset a local session (tests) gets a folder of its own; on a cluster that is an error,
+    since other executors could not read a machine's own folder.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="wayfold-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 class Stage:
-    """Tables in the shared checkpoint folder (one of its own only where none is set)."""
+    """Tables that cut lineage, under one folder of the shared one; Hadoop removes it at exit."""
 
-    def __init__(self, spark: SparkSession):
+    def __init__(self, spark: SparkSession, name: str = "stage"):
         self.spark = spark
-        folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="wayfold-")
-        self.path = f"{folder}/stage-{uuid.uuid4().hex}"
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        fs, path = self._fs(self.path)
+        fs.deleteOnExit(path)
+
+    def _fs(self, where: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.path}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def drop(self, name: str) -> None:
+        fs, path = self._fs(f"{self.path}/{name}")
+        fs.delete(path, True)
+
 
 def write_records(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """JSON lines; an existing output is refused unless overwritten."""
