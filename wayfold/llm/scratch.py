@@ -2,48 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Ids (8 bytes each) up to which a set of ids is broadcast; above it the same filter is a shuffled join.
-BROADCAST_IDS = 1_000_000
-#: Rows of an Arrow batch; batches are cut further by bytes before use.
-ARROW_ROWS = 500
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a folder of its own only where that is unset (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="wayfold-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
+from ..sources.sinks import Stage as Scratch
 
-class Scratch:
-    """Writes intermediate tables under one folder of the shared one; Hadoop removes it at exit."""
+__all__ = ["BROADCAST_IDS", "Scratch", "documents", "parts", "with_ids"]
 
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark = spark
-        self.path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
-        fs, path = self._fs(self.path)
-        fs.deleteOnExit(path)
-
-    def _fs(self, where: str):
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
-
-    def drop(self, name: str) -> None:
-        fs, path = self._fs(f"{self.path}/{name}")
-        fs.delete(path, True)
+#: Ids (8 bytes each) up to which a set of ids is broadcast; above it the same filter is a shuffled join.
+BROADCAST_IDS = 1_000_000
 
 
 def parts(spark: SparkSession) -> int:
