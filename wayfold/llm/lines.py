@@ -1,25 +1,24 @@
 """Line deduplication by a fixed-depth tree of line templates.
 
-A line's path in the tree is its token count and its leading tokens; at the leaf its template keeps
-constant tokens and generalises variable ones.  Tokens with a digit are variable everywhere; in
-lines of ``LONG`` tokens or more the tokens of even places, or those of odd places, may vary too, so
-such a line has two templates and lines that differ in one field share one.  Templates that occur in
-``min_docs`` documents or more are recurring, and their lines are dropped.
-
-Lines of copied documents recur without being boilerplate.  With ``whole`` (as the query and the
-pipeline run it) a template is therefore counted once for each class of near copies, and recurring
-lines are dropped whatever their length and their share, but a document that would be left without a
-word stays whole.  Without it, documents in
-which recurring lines hold more than ``MOST`` of the words are left whole, and lines of fewer than
-``SHORT`` tokens are kept.
-
-Templates are hashes: chunks send each of theirs once with the number of its documents, sums decide
-which may recur, and only documents that hold one of those are sorted into classes and read again.
-
-Defined results: blank lines are always kept; a line of fewer than ``SHORT`` tokens that all hold a
-digit has only itself as template; classes are the components of near copies (``WIDTH`` words,
-``PERCENT``) among the documents with a template of ``min_docs`` documents; a null or empty text
-stays as it is; rows without doc_id are counted but kept whole; other columns pass through unchanged.
+A line's way down the tree is its token count, then its leading ``DEPTH`` tokens; it ends at a leaf.
+Tokens with a digit are fields everywhere.  Which other places of a leaf are fields is learned from
+counts: a token is constant where at least ``min_docs`` rows of the leaf have it at its place, or,
+for a second and coarser template, where at least ``SHARE`` of the leaf's rows have it; any other
+token is a field, in one place or in several neighbouring ones.  So a line has up to three templates:
+its tokens with digits generalised, and the two learned ones where no more than a third of the
+places are fields.  A line recurs if one of its templates stands in documents of ``min_docs`` classes
+of near copies (``WIDTH`` words, ``PERCENT``) or more: lines of copied documents are no boilerplate.
+Recurring lines are dropped, whatever their length and their share of a document.
+
+Leaves, tokens of a leaf and templates are hashes.  Chunks of rows send each of theirs once, with the
+number of rows that hold it, to hash ranges, whose sums go back to the documents that hold a frequent
+one; only those are read again, and only those with a template of ``min_docs`` rows are sorted into
+classes.  The number of hash ranges follows the size of the input.
+
+Defined results: blank lines are always kept; a line of which every token holds a digit has only
+itself as template; rows of one doc_id are judged each and are one document in the count; a row
+without doc_id is neither counted nor changed; a null or empty text stays as it is; a document may be
+left without a word; templates of equal counts need no order; other columns pass through.
 """
 
 from __future__ import annotations
@@ -29,20 +28,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .minhash import near_duplicates
-from .scratch import Scratch, parts, with_ids
-from .substrings import DEALT, GATHERED, RUN, _cuts, _gathered, _holders, _starts
+from .scratch import Scratch, hash_ranges, with_ids
+from .substrings import _cuts, _starts
 from .textkit import _PLACES, U64, mix, slices, to_bytes, word_hashes
 
-DEPTH, SHORT, LONG, MOST, MIN_DOCS = 2, 4, 8, 0.5, 10
+DEPTH, LEAST, MIN_DOCS, SHARE = 2, 4, 10, 0.1
+#: One of so many places may be a field in a learned template.
+FIELDS = 3
 #: Near copies as the pipeline's near-duplicate step takes them.
 WIDTH, PERCENT = 5, 80
+#: Entries held in a task before they are sent on.
+ENTRIES = 2_000_000
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
-VARIABLE = U64(0x2A)
+VARIABLE, _N, _LEAF, _PLACE = U64(0x2A), U64(0x9E3779B97F4A7C15), U64((1 << 61) - 1), U64(0xD6E8FEB86659FD93)
+_COUNTED = "part int, hashes binary, docs binary, holders binary"
+_DEALT = "part int, docs binary, hashes binary, counts binary"
 
 
 class Lines:
-    """The lines of many texts with the templates of each: keys[i] and other[i] (equal in short lines)."""
+    """The lines of many texts: token counts, templates with digits generalised, leaves, tokens of leaves."""
 
     def __init__(self, texts: list[bytes]):
         buffer = b"\n".join(texts)
@@ -51,60 +56,147 @@ class Lines:
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
         variable = digits[ends] > digits[starts]
         breaks = np.flatnonzero(data == 10)
-        line = np.searchsorted(breaks, starts)
+        self.line = np.searchsorted(breaks, starts)
         n_lines = len(breaks) + 1
-        self.tokens = np.bincount(line, minlength=n_lines)
-        bare = (self.tokens < SHORT) & (np.bincount(line[variable], minlength=n_lines) == self.tokens)
-        hashes = np.where(variable & ~bare[line], VARIABLE, hashes)
-        first = np.concatenate([[0], np.cumsum(self.tokens)[:-1]])
-        place = np.arange(len(hashes)) - np.repeat(first, self.tokens)
-        terms = mix(hashes + _PLACES[place % 64] * (place // 64 + 1).astype(U64))
-        lead, odd = place < DEPTH, place % 2 == 1
-        self.keys = self._sum(np.where(lead | ~odd | (self.tokens[line] < LONG), terms, 0), first, 1)
-        self.other = np.where(self.tokens < LONG, self.keys, self._sum(np.where(lead | odd, terms, 0), first, 2))
+        self.tokens = np.bincount(self.line, minlength=n_lines)
+        fields = np.bincount(self.line[variable], minlength=n_lines)
+        bare = fields == self.tokens
+        self.variable = variable & ~bare[self.line]
+        self.fields = np.where(bare, 0, fields)
+        self.hashes = np.where(self.variable, VARIABLE, hashes)
+        self.first = np.concatenate([[0], np.cumsum(self.tokens)[:-1]])
+        self.place = np.arange(len(hashes)) - np.repeat(self.first, self.tokens)
+        self.turn = _PLACES[self.place % 64] * (self.place // 64 + 1).astype(U64)
+        # even hashes are templates, odd ones leaves
+        self.plain = self.template(np.ones(len(hashes), bool))
+        lead = np.where(self.place < DEPTH, mix(self.hashes + self.turn), 0)
+        self.leaf = mix(self._sum(lead) + self.tokens.astype(U64) * _N + _LEAF) | U64(1)
+        self.deep = (self.tokens >= LEAST) & ~bare
         # a document's lines: one more than its line breaks; the join itself breaks lines between documents
         counts = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
         self.of_doc = np.repeat(np.arange(len(texts)), counts)
         self.offsets = np.concatenate([[0], np.cumsum(counts)])
 
-    def _sum(self, terms: np.ndarray, first: np.ndarray, kind: int) -> np.ndarray:
+    def _sum(self, terms: np.ndarray) -> np.ndarray:
         total = np.concatenate([[U64(0)], np.cumsum(terms.astype(U64))])
-        sums = total[first + self.tokens] - total[first]
-        return mix(sums + self.tokens.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(kind) * U64((1 << 61) - 1) * (self.tokens >= LONG).astype(U64))
+        return total[self.first + self.tokens] - total[self.first]
+
+    def template(self, constant: np.ndarray) -> np.ndarray:
+        terms = mix(np.where(constant, self.hashes, VARIABLE) + self.turn)
+        return mix(self._sum(terms) + self.tokens.astype(U64) * _N) & ~U64(1)
+
+    def inner(self) -> tuple[np.ndarray, np.ndarray]:
+        """(places among all tokens, hashes) of the tokens below the leading ones, with leaf and place."""
+        at = np.flatnonzero(self.deep[self.line] & (self.place >= DEPTH) & ~self.variable)
+        return at, mix(self.leaf[self.line[at]] + self.hashes[at] * _PLACE + self.turn[at])
+
+    def learned(self, leaves: "Known", inner: "Known", min_docs: int) -> list[np.ndarray]:
+        """Two templates of every line; the plain one again where a learned one is not to be had."""
+        of_leaf = leaves.counts(self.leaf, self.of_doc)
+        at, hashes = self.inner()
+        seen = inner.counts(hashes, self.of_doc[self.line[at]])
+        found = []
+        for least in (np.full(len(self.leaf), min_docs), np.maximum(min_docs, np.ceil(of_leaf * SHARE))):
+            constant = (self.place < DEPTH) & ~self.variable
+            constant[at] = seen >= least[self.line[at]]
+            fields = self.tokens - np.bincount(self.line[constant], minlength=len(self.tokens))
+            usable = self.deep & (of_leaf >= min_docs) & (fields * FIELDS <= self.tokens)
+            found.append(np.where(usable, self.template(constant), self.plain))
+        return found
+
+
+class Known:
+    """The counts of hashes that each of a batch's documents was told."""
+
+    def __init__(self, hashes: list, counts: list | None = None):
+        found = [np.frombuffer(x or b"", U64) for x in hashes]
+        owner = np.repeat(np.arange(len(found)), [len(x) for x in found]).astype(U64)
+        every = np.concatenate(found) if found else np.zeros(0, U64)
+        keys = mix(every + owner * _N)
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        told = np.concatenate([np.frombuffer(x or b"", np.uint32) for x in counts]) if counts is not None and found else np.ones(len(every), np.uint32)
+        self.told = told[order].astype(np.int64)
+
+    def counts(self, hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int64)
+        keys = mix(hashes + docs.astype(U64) * _N)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, self.told[at], 0)
+
+
+def _ranged(hashes: np.ndarray, rows: np.ndarray, ids: np.ndarray, n_parts: int):
+    """An Arrow batch of (hash, row) entries, each hash once with its rows' doc_ids, by hash range."""
+    import pyarrow as pa
+
+    order = np.lexsort((rows, hashes))
+    hashes, rows = hashes[order], rows[order]
+    new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])]) if len(hashes) else np.zeros(0, bool)
+    hashes, rows = hashes[new], rows[new]
+    first = _starts(hashes)
+    places = np.append(first, len(hashes))
+    sizes, cuts, out = np.diff(places).astype(np.uint32), _cuts(hashes[first], n_parts), []
+    for p in range(n_parts):
+        a, b = cuts[p], cuts[p + 1]
+        if a < b:
+            out.append((p, hashes[first[a:b]].tobytes(), ids[rows[places[a] : places[b]]].astype(np.int64).tobytes(), sizes[a:b].tobytes()))
+    columns = zip(*out) if out else [()] * 4
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 3))], ["part", "hashes", "docs", "holders"])
+
+
+def _tree(n_parts: int):
+    """Plain templates and leaves of all lines."""
+
+    def write(batches):
+        for whole in batches:
+            for batch in slices(whole, 8_000_000):
+                lines = Lines(to_bytes(batch.column("text")))
+                real, deep = lines.tokens > 0, lines.deep
+                hashes = np.concatenate([lines.plain[real], lines.leaf[deep]])
+                rows = np.concatenate([lines.of_doc[real], lines.of_doc[deep]])
+                yield _ranged(hashes, rows, batch.column("doc_id").to_numpy(zero_copy_only=False), n_parts)
+
+    return write
 
 
-def _writer(n_parts: int, least: int):
+def _tokens(n_parts: int):
+    """Tokens, with place and leaf, of the lines of frequent leaves."""
+
     def write(batches):
-        import pyarrow as pa
+        for whole in batches:
+            for batch in slices(whole, 4_000_000):
+                lines = Lines(to_bytes(batch.column("text")))
+                leaves = Known(batch.column("found").to_pylist())
+                at, hashes = lines.inner()
+                pick = (leaves.counts(lines.leaf, lines.of_doc) > 0)[lines.line[at]]
+                yield _ranged(hashes[pick], lines.of_doc[lines.line[at[pick]]], batch.column("doc_id").to_numpy(zero_copy_only=False), n_parts)
+
+    return write
+
 
+def _templates(n_parts: int, min_docs: int):
+    """All templates of the lines of documents that were told frequent leaves, templates or tokens."""
+
+    def write(batches):
         for whole in batches:
-            for batch in slices(whole, 8_000_000):
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            for batch in slices(whole, 4_000_000):
                 lines = Lines(to_bytes(batch.column("text")))
-                real = lines.tokens >= least
-                both = np.concatenate([lines.keys[real], lines.other[real]])
-                docs = np.tile(lines.of_doc[real], 2)
-                order = np.lexsort((docs, both))
-                both, docs = both[order], docs[order]
-                new = np.concatenate([[True], (both[1:] != both[:-1]) | (docs[1:] != docs[:-1])]) if len(both) else np.zeros(0, bool)
-                both, docs = both[new], docs[new]
-                if not len(both):
-                    continue
-                first = _starts(both)
-                sizes = np.diff(np.append(first, len(both))).astype(np.uint32)
-                cuts, places = _cuts(both[first], n_parts), np.append(first, len(both))
-                rows = []
-                for p in range(n_parts):
-                    a, b = cuts[p], cuts[p + 1]
-                    if a < b:
-                        x, y = places[a], places[b]
-                        rows.append((p, 0, both[first[a:b]].tobytes(), b"", ids[docs[x:y]].astype(np.int64).tobytes(), sizes[a:b].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), *[pa.binary()] * 4))], ["part", "run", "hashes", "many", "docs", "holders"])
+                told = [Known(*(batch.column(c).to_pylist() for c in pair)) for pair in (("found", "counts"), ("inner", "inner_counts"))]
+                plain = (told[0].counts(lines.plain, lines.of_doc) > 0) & (lines.tokens > 0)
+                hashes, rows = [lines.plain[plain]], [lines.of_doc[plain]]
+                for found in lines.learned(*told, min_docs):
+                    more = lines.deep & (found != lines.plain)
+                    hashes.append(found[more])
+                    rows.append(lines.of_doc[more])
+                yield _ranged(np.concatenate(hashes), np.concatenate(rows), batch.column("doc_id").to_numpy(zero_copy_only=False), n_parts)
 
     return write
 
 
-def _recurring(min_docs: int):
+def _frequent(min_docs: int):
+    """The hashes of one range that ``min_docs`` rows hold, with their counts."""
+
     def merge(table):
         import pyarrow as pa
 
@@ -112,106 +204,169 @@ def _recurring(min_docs: int):
         order = np.argsort(h, kind="stable")
         h, n = h[order], n[order].astype(np.int64)
         first = _starts(h)
-        found = h[first][np.add.reduceat(n, first) >= min_docs]
-        return pa.table({"part": table.column("part")[:1], "shared": pa.array([found.tobytes()], pa.binary())})
+        n = np.add.reduceat(n, first) if len(first) else n
+        pick = n >= min_docs
+        return pa.table({"part": table.column("part")[:1], "shared": pa.array([h[first][pick].tobytes()], pa.binary()), "total": pa.array([np.minimum(n[pick], 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     return merge
 
 
+def _told(groups: int):
+    """(document, frequent hash, count) of each segment, dealt to groups of documents."""
+    import pyarrow as pa
+
+    def sent(kept):
+        docs, hashes, counts = (np.concatenate(x) for x in zip(*kept))
+        group = (docs.view(U64) * _N >> U64(33)).astype(np.int64) % groups
+        order = np.argsort(group, kind="stable")
+        group, docs, hashes, counts = (x[order] for x in (group, docs, hashes, counts))
+        first = np.append(_starts(group), len(group))
+        columns = [pa.array(group[first[:-1]].astype(np.int32))]
+        columns += [pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary()) for x in (docs, hashes, counts)]
+        return pa.RecordBatch.from_arrays(columns, ["part", "docs", "hashes", "counts"])
+
+    def look(batches):
+        kept, size = [], 0
+        for batch in batches:
+            for hashes, docs, holders, shared, total in zip(*(batch.column(c).to_pylist() for c in ("hashes", "docs", "holders", "shared", "total"))):
+                h, s, n = np.frombuffer(hashes, U64), np.frombuffer(shared, U64), np.frombuffer(total, np.uint32)
+                at = np.minimum(np.searchsorted(s, h), len(s) - 1)
+                hit = s[at] == h
+                if hit.any():
+                    sizes = np.frombuffer(holders, np.uint32)
+                    pick = np.repeat(hit, sizes)
+                    kept.append((np.frombuffer(docs, np.int64)[pick], np.repeat(h, sizes)[pick], np.repeat(n[at], sizes)[pick]))
+                    size += len(kept[-1][0])
+                if size > ENTRIES:
+                    yield sent(kept)
+                    kept, size = [], 0
+        if kept:
+            yield sent(kept)
+
+    return look
+
+
+def _by_document(table):
+    """One row for each document of a group: its frequent hashes with their counts."""
+    import pyarrow as pa
+
+    docs, hashes, counts = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("docs", np.int64), ("hashes", U64), ("counts", np.uint32)))
+    order = np.lexsort((hashes, docs))
+    docs, hashes, counts = docs[order], hashes[order], counts[order]
+    new = np.concatenate([[True], (docs[1:] != docs[:-1]) | (hashes[1:] != hashes[:-1])]) if len(docs) else np.zeros(0, bool)
+    docs, hashes, counts = docs[new], hashes[new], counts[new]
+    first = np.append(_starts(docs), len(docs))
+    cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])], pa.binary())
+    return pa.table({"doc_id": pa.array(docs[first[:-1]]), "found": cut(hashes), "counts": cut(counts)})
+
+
 def _of_classes(n_parts: int):
     """The templates of documents, each once for a class in a batch, dealt to their hash ranges."""
 
     def deal(batches):
-        import pyarrow as pa
-
         for batch in batches:
             found = [np.frombuffer(x, U64) for x in batch.column("found").to_pylist()]
-            if not found:
-                continue
-            h = np.concatenate(found)
-            c = np.repeat(batch.column("class_id").to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in found])
-            order = np.lexsort((c, h))
-            h, c = h[order], c[order]
-            new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.zeros(0, bool)
-            h, c = h[new], c[new]
-            cuts = _cuts(h, n_parts)
-            rows = [(p, h[a:b].tobytes(), c[a:b].tobytes()) for p, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if a < b]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], ["part", "hashes", "classes"])
+            if found:
+                h = np.concatenate(found)
+                c = np.repeat(batch.column("class_id").to_numpy(zero_copy_only=False).astype(np.int64), [len(x) for x in found])
+                classes, rows = np.unique(c, return_inverse=True)
+                yield _ranged(h, rows, classes, n_parts)
 
     return deal
 
 
 def _over_classes(min_docs: int):
+    """The templates of one range that ``min_docs`` classes hold."""
+
     def merge(table):
         import pyarrow as pa
 
-        h, c = (np.concatenate([np.frombuffer(x, t) for x in table.column(n).to_pylist()]) for n, t in (("hashes", U64), ("classes", np.int64)))
+        h, n = (np.concatenate([np.frombuffer(x, t) for x in table.column(c).to_pylist()]) for c, t in (("hashes", U64), ("holders", np.uint32)))
+        c = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("docs").to_pylist()])
+        h = np.repeat(h, n)
         order = np.lexsort((c, h))
         h, c = h[order], c[order]
-        h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])]
+        h = h[np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])] if len(h) else h
         first = _starts(h)
-        found = h[first][np.diff(np.append(first, len(h))) >= min_docs]
-        return pa.table({"part": table.column("part")[:1], "shared": pa.array([found.tobytes()], pa.binary())})
+        n = np.diff(np.append(first, len(h)))
+        pick = n >= min_docs
+        return pa.table({"part": table.column("part")[:1], "shared": pa.array([h[first][pick].tobytes()], pa.binary()), "total": pa.array([n[pick].astype(np.uint32).tobytes()], pa.binary())})
 
     return merge
 
 
-def _dropper(least: int, most: float):
+def _dropper(min_docs: int, others: int):
     def run(batches):
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         for whole in batches:
             for batch in slices(whole):
                 raw = to_bytes(batch.column("text"))
                 lines = Lines(raw)
-                texts, n_lines, dropped = [], [], []
-                for i, (text, found) in enumerate(zip(raw, batch.column("found").to_pylist())):
-                    a, b = lines.offsets[i], lines.offsets[i + 1]
-                    tokens = lines.tokens[a:b]
-                    shared = np.frombuffer(found, U64)
-                    drop = (tokens >= least) & (np.isin(lines.keys[a:b], shared) | np.isin(lines.other[a:b], shared))
-                    if tokens[drop].sum() > most * tokens.sum() or tokens[drop].sum() == tokens.sum():
-                        drop[:] = False
-                    texts.append(b"\n".join([x for x, d in zip(text.split(b"\n"), drop.tolist()) if not d]) if drop.any() else text)
-                    n_lines.append(b - a)
-                    dropped.append(int(drop.sum()))
+                told = [Known(*(batch.column(c).to_pylist() for c in pair)) for pair in (("found", "counts"), ("inner", "inner_counts"))]
+                recurring = Known(batch.column("recurring").to_pylist())
+                drop = recurring.counts(lines.plain, lines.of_doc) > 0
+                for found in lines.learned(*told, min_docs):
+                    drop |= recurring.counts(found, lines.of_doc) > 0
+                drop &= lines.tokens > 0
+                texts, dropped = [], []
+                for i, text in enumerate(raw):
+                    own = drop[lines.offsets[i] : lines.offsets[i + 1]]
+                    texts.append(b"\n".join([x for x, d in zip(text.split(b"\n"), own.tolist()) if not d]) if own.any() else text)
+                    dropped.append(int(own.sum()))
                 kept = pa.array(texts, pa.binary()).cast(pa.string())
-                yield pa.record_batch([batch.column("doc_id"), kept, pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64())], ["doc_id", "kept_text", "n_lines", "n_dropped"])
+                null = batch.column("text").is_null()
+                kept = pc.if_else(null, pa.nulls(len(kept), pa.string()), kept)
+                columns = [*(batch.column(i) for i in range(others)), kept, pa.array(np.diff(lines.offsets)), pa.array(dropped, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:others], "kept_text", "n_lines", "n_dropped"])
 
     return run
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, whole: bool = False) -> DataFrame:
-    """doc_id, kept_text, n_lines, n_dropped of the documents with recurring lines; all others have none."""
-    least, most = (1, 1.0) if whole else (SHORT, MOST)
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns ``keep``, kept_text, n_lines, n_dropped of all rows of documents with recurring lines."""
     spark = docs.sparkSession
-    scratch, n = Scratch(spark, "lines"), parts(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).where("doc_id is not null")
-    index = scratch.save(docs.mapInArrow(_writer(n, least), RUN), "templates")
-    shared = index.select("part", "hashes", "holders").groupBy("part").applyInArrow(_recurring(min_docs), "part int, shared binary")
-    shared = scratch.save(shared.where(F.length("shared") > 0), "recurring")
-
-    def holders(shared: DataFrame, name: str) -> DataFrame:
-        held = index.join(shared, "part").select("run", "hashes", "docs", "holders", "shared").mapInArrow(_holders(0, n), DEALT)
-        return scratch.save(held.groupBy("part").applyInArrow(_gathered, GATHERED).select("doc_id", "found"), name)
-
-    held = holders(shared, "held")
-    if whole:
-        classes = near_duplicates(with_ids(docs, held), WIDTH, PERCENT).select("doc_id", F.col("component_id").alias("class_id"))
-        counted = held.join(classes, "doc_id").select("class_id", "found").mapInArrow(_of_classes(n), "part int, hashes binary, classes binary")
-        shared = counted.groupBy("part").applyInArrow(_over_classes(min_docs), "part int, shared binary")
-        held = holders(scratch.save(shared.where(F.length("shared") > 0), "over-classes"), "held-over-classes")
-    scratch.drop("templates")
-    found = with_ids(docs, held).dropDuplicates(["doc_id"]).join(held, "doc_id").select("doc_id", "text", "found")
-    out = found.mapInArrow(_dropper(least, most), "doc_id long, kept_text string, n_lines long, n_dropped long").where("n_dropped > 0")
-    return scratch.save(out, "changed")
+    scratch, n = Scratch(spark, "lines"), hash_ranges(docs)
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(F.lit(0).alias("wayfold_none"), *keep).alias("others"))
+
+    def counted(rows: DataFrame, write, name: str) -> DataFrame:
+        return scratch.save(rows.mapInArrow(write, _COUNTED), name)
+
+    def told(index: DataFrame, merge, name: str, holders: DataFrame | None = None) -> DataFrame:
+        """doc_id, found, counts: the frequent hashes of the documents that hold any."""
+        shared = index.select("part", "hashes", "docs", "holders") if holders is not None else index.select("part", "hashes", "holders")
+        shared = scratch.save(shared.groupBy("part").applyInArrow(merge, "part int, shared binary, total binary").where(F.length("shared") > 0), f"{name}-shared")
+        held = (holders if holders is not None else index).join(shared, "part").select("hashes", "docs", "holders", "shared", "total").mapInArrow(_told(n), _DEALT)
+        return scratch.save(held.groupBy("part").applyInArrow(_by_document, "doc_id long, found binary, counts binary"), name)
+
+    texts = docs.select("doc_id", "text")
+    tree = told(counted(texts, _tree(n), "tree"), _frequent(min_docs), "told")
+    known = with_ids(docs, tree).join(tree, "doc_id")
+    inner = told(counted(known.select("doc_id", "text", "found"), _tokens(n), "tokens"), _frequent(min_docs), "inner")
+    inner = inner.select("doc_id", F.col("found").alias("inner"), F.col("counts").alias("inner_counts"))
+    known = scratch.save(known.join(inner, "doc_id", "left"), "known")
+    templates = counted(known.drop("others"), _templates(n, min_docs), "templates")
+    held = told(templates, _frequent(min_docs), "held")
+    for name in ("tree", "tokens", "told", "inner"):
+        scratch.drop(name)
+    classes = near_duplicates(with_ids(known.select("doc_id", "text"), held), WIDTH, PERCENT).groupBy("doc_id").agg(F.min("component_id").alias("class_id"))
+    of_classes = held.join(classes, "doc_id").select("class_id", "found").mapInArrow(_of_classes(n), _COUNTED)
+    recurring = told(of_classes, _over_classes(min_docs), "recurring", templates).select("doc_id", F.col("found").alias("recurring"))
+    found = with_ids(known, recurring).join(recurring, "doc_id")
+    others = docs.schema["others"].dataType.simpleString()
+    columns = ["doc_id", "others", "text", "found", "counts", "inner", "inner_counts", "recurring"]
+    out = found.select(*columns).mapInArrow(_dropper(min_docs, 2), f"doc_id long, others {others}, kept_text string, n_lines long, n_dropped long")
+    changed = scratch.save(out, "changed")
+    for name in ("known", "templates", "held"):
+        scratch.drop(name)
+    return changed.select("doc_id", *[F.col("others")[c].alias(c) for c in keep], "kept_text", "n_lines", "n_dropped")
 
 
 def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("text").cast("string"))
-    changed = drop_recurring(docs, whole=True)
+    changed = drop_recurring(docs)
     same = with_ids(docs, changed, keep=False)
     text = F.coalesce("text", F.lit(""))
     same = same.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.sha2(text, 256).alias("kept_sha256"))
-    return same.union(changed.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256")))
+    return same.union(changed.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")))
