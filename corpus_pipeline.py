@@ -22,12 +22,12 @@ def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines whose templates recur over classes of near copies."""
+    """Documents without the lines whose templates recur over classes of near copies; no document goes."""
     docs = docs.select(*COLUMNS)
-    changed = drop_recurring(docs, whole=True)
+    changed = drop_recurring(docs, keep=("lang", "source", "n_chars"))
     same = with_ids(docs, changed, keep=False)
-    cut = with_ids(docs, changed).drop("text", "n_chars").join(changed.select("doc_id", F.col("kept_text").alias("text")), "doc_id")
-    return same.unionByName(cut.withColumn("n_chars", F.length("text").cast("long"))).select(*COLUMNS)
+    cut = changed.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")))
+    return same.unionByName(cut.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", "n_chars")).select(*COLUMNS)
 
 
 def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
