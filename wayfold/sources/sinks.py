@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """``spark.checkpoint.dir`` of the session, which driver and executors share.
 
@@ -18,8 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="wayfold-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        folder = _own.get(spark.sparkContext.applicationId) or "file://" + tempfile.mkdtemp(prefix="wayfold-")
+        _own[spark.sparkContext.applicationId] = folder
     return folder
 
 
