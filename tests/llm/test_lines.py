@@ -4,6 +4,8 @@ import math
 import random
 from collections import defaultdict
 
+import pytest
+
 from wayfold.llm import lines
 from wayfold.llm.minhash import near_duplicates
 
@@ -37,10 +39,10 @@ def brute(rows, classes, min_docs=10):
             return set()
         found, n = {t}, len(leaves[leaf(t)]) if leaf(t) else 0
         if n >= min_docs:
-            for least in (min_docs, max(min_docs, math.ceil(n * lines.SHARE))):
-                made = tuple(w if p < lines.DEPTH or w != "<*>" and len(tokens[leaf(t), p, w]) >= least else "<*>" for p, w in enumerate(t))
-                if made.count("<*>") * lines.FIELDS <= len(t):
-                    found.add(made)
+            least = max(min_docs, math.ceil(n * lines.SHARE))
+            made = tuple(w if p < lines.DEPTH or w != "<*>" and len(tokens[leaf(t), p, w]) >= least else "<*>" for p, w in enumerate(t))
+            if made.count("<*>") * lines.FIELDS <= len(t):
+                found.add(made)
         return found
 
     held = defaultdict(set)
@@ -70,7 +72,9 @@ def words(r, n):
     return [r.choice("alpha beta gamma delta eps zeta eta theta é ñu".split()) + "".join(chr(97 + r.randrange(26)) for _ in range(3)) for _ in range(n)]
 
 
-def test_same_as_brute_force_tree(spark):
+@pytest.mark.parametrize("limit", [lines.BROADCAST_BYTES, -1])
+def test_same_as_brute_force_tree(spark, monkeypatch, limit):
+    monkeypatch.setattr(lines, "BROADCAST_BYTES", limit)
     r = random.Random(4)
     rows = [(0, None), (1, ""), (2, "\n\n"), (3, "Read 5 more pages here"), (None, "Read 7 more pages here"), (None, None)]
     for i in range(4, 90):

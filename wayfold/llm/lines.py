@@ -2,18 +2,19 @@
 
 A line's way down the tree is its token count, then its leading ``DEPTH`` tokens; it ends at a leaf.
 Tokens with a digit are fields everywhere.  Which other places of a leaf are fields is learned from
-counts: a token is constant where at least ``min_docs`` rows of the leaf have it at its place, or,
-for a second and coarser template, where at least ``SHARE`` of the leaf's rows have it; any other
-token is a field, in one place or in several neighbouring ones.  So a line has up to three templates:
-its tokens with digits generalised, and the two learned ones where no more than a third of the
-places are fields.  A line recurs if one of its templates stands in documents of ``min_docs`` classes
-of near copies (``WIDTH`` words, ``PERCENT``) or more: lines of copied documents are no boilerplate.
+counts: a token is constant where at least ``SHARE`` of the leaf's rows, and ``min_docs``, have it at
+its place; any other token is a field, in one place or in several neighbouring ones.  So a line has
+two templates: its tokens with digits generalised, and the learned one where no more than a third of
+the places are fields.  A line recurs if one of them stands in documents of ``min_docs`` classes of
+near copies (``WIDTH`` words, ``PERCENT``) or more: lines of copied documents are no boilerplate.
 Recurring lines are dropped, whatever their length and their share of a document.
 
 Leaves, tokens of a leaf and templates are hashes.  Chunks of rows send each of theirs once, with the
-number of rows that hold it, to hash ranges, whose sums go back to the documents that hold a frequent
-one; only those are read again, and only those with a template of ``min_docs`` rows are sorted into
-classes.  The number of hash ranges follows the size of the input.
+number of rows that hold it, to hash ranges, which sum them.  The frequent ones go to all workers
+where they take ``BROADCAST_BYTES`` at most (measured), else by joins to the documents that hold
+them, with the same result.  Only the lines with a frequent leaf or template are kept for what
+follows, and only documents with a template of ``min_docs`` rows are sorted into classes.  The number
+of hash ranges follows the size of the input.
 
 Defined results: blank lines are always kept; a line of which every token holds a digit has only
 itself as template; rows of one doc_id are judged each and are one document in the count; a row
@@ -39,10 +40,12 @@ FIELDS = 3
 WIDTH, PERCENT = 5, 80
 #: Entries held in a task before they are sent on.
 ENTRIES = 2_000_000
+#: Bytes of frequent hashes up to which they are broadcast.
+BROADCAST_BYTES = 32 << 20
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 VARIABLE, _N, _LEAF, _PLACE = U64(0x2A), U64(0x9E3779B97F4A7C15), U64((1 << 61) - 1), U64(0xD6E8FEB86659FD93)
-_COUNTED = "part int, hashes binary, docs binary, holders binary"
+_COUNTED = "part int, hashes binary, docs binary, holders binary, least binary"
 _DEALT = "part int, docs binary, hashes binary, counts binary"
 
 
@@ -90,19 +93,14 @@ class Lines:
         at = np.flatnonzero(self.deep[self.line] & (self.place >= DEPTH) & ~self.variable)
         return at, mix(self.leaf[self.line[at]] + self.hashes[at] * _PLACE + self.turn[at])
 
-    def learned(self, leaves: "Known", inner: "Known", min_docs: int) -> list[np.ndarray]:
-        """Two templates of every line; the plain one again where a learned one is not to be had."""
-        of_leaf = leaves.counts(self.leaf, self.of_doc)
+    def learned(self, leaves: "Known", inner: "Known", min_docs: int) -> np.ndarray:
+        """The learned template of every line; the plain one again where there is none."""
         at, hashes = self.inner()
-        seen = inner.counts(hashes, self.of_doc[self.line[at]])
-        found = []
-        for least in (np.full(len(self.leaf), min_docs), np.maximum(min_docs, np.ceil(of_leaf * SHARE))):
-            constant = (self.place < DEPTH) & ~self.variable
-            constant[at] = seen >= least[self.line[at]]
-            fields = self.tokens - np.bincount(self.line[constant], minlength=len(self.tokens))
-            usable = self.deep & (of_leaf >= min_docs) & (fields * FIELDS <= self.tokens)
-            found.append(np.where(usable, self.template(constant), self.plain))
-        return found
+        constant = (self.place < DEPTH) & ~self.variable
+        constant[at] = inner.counts(hashes, self.of_doc[self.line[at]]) > 0
+        fields = self.tokens - np.bincount(self.line[constant], minlength=len(self.tokens))
+        usable = self.deep & (leaves.counts(self.leaf, self.of_doc) >= min_docs) & (fields * FIELDS <= self.tokens)
+        return np.where(usable, self.template(constant), self.plain)
 
 
 class Known:
@@ -126,23 +124,55 @@ class Known:
         return np.where(self.keys[at] == keys, self.told[at], 0)
 
 
-def _ranged(hashes: np.ndarray, rows: np.ndarray, ids: np.ndarray, n_parts: int):
-    """An Arrow batch of (hash, row) entries, each hash once with its rows' doc_ids, by hash range."""
+class Everywhere:
+    """The counts of frequent hashes, told to all alike."""
+
+    def __init__(self, rows: list):
+        hashes = np.concatenate([np.frombuffer(r.shared, U64) for r in rows]) if rows else np.zeros(0, U64)
+        order = np.argsort(hashes)
+        self.keys = hashes[order]
+        self.told = np.concatenate([np.frombuffer(r.total, np.uint32) for r in rows]).astype(np.int64)[order] if rows else np.zeros(0, np.int64)
+
+    def counts(self, hashes: np.ndarray, docs: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
+        return np.where(self.keys[at] == hashes, self.told[at], 0)
+
+
+class Told:
+    """Frequent hashes and how they reach the lines: ``everywhere`` (a broadcast), else columns of each document."""
+
+    def __init__(self, name: str, everywhere=None):
+        self.name, self.everywhere = name, everywhere
+
+    def of(self, batch):
+        if self.everywhere is not None:
+            return self.everywhere.value
+        return Known(batch.column(self.name).to_pylist(), batch.column(f"{self.name}_counts").to_pylist())
+
+
+def _ranged(hashes: np.ndarray, rows: np.ndarray, ids: np.ndarray, n_parts: int, least: np.ndarray | None = None):
+    """An Arrow batch of (hash, row) entries, each hash once with its rows' doc_ids, by hash range.
+
+    ``least`` is the number of rows that a hash must have to be frequent, where it has its own.
+    """
     import pyarrow as pa
 
     order = np.lexsort((rows, hashes))
     hashes, rows = hashes[order], rows[order]
     new = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])]) if len(hashes) else np.zeros(0, bool)
     hashes, rows = hashes[new], rows[new]
+    own = least[order][new].astype(np.uint32) if least is not None else None
     first = _starts(hashes)
     places = np.append(first, len(hashes))
     sizes, cuts, out = np.diff(places).astype(np.uint32), _cuts(hashes[first], n_parts), []
     for p in range(n_parts):
         a, b = cuts[p], cuts[p + 1]
         if a < b:
-            out.append((p, hashes[first[a:b]].tobytes(), ids[rows[places[a] : places[b]]].astype(np.int64).tobytes(), sizes[a:b].tobytes()))
-    columns = zip(*out) if out else [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 3))], ["part", "hashes", "docs", "holders"])
+            out.append((p, hashes[first[a:b]].tobytes(), ids[rows[places[a] : places[b]]].astype(np.int64).tobytes(), sizes[a:b].tobytes(), own[first[a:b]].tobytes() if own is not None else b""))
+    columns = zip(*out) if out else [()] * 5
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), *[pa.binary()] * 4))], ["part", "hashes", "docs", "holders", "least"])
 
 
 def _tree(n_parts: int):
@@ -160,36 +190,58 @@ def _tree(n_parts: int):
     return write
 
 
-def _tokens(n_parts: int):
+def _candidates(tree: Told, others: int):
+    """The lines that have a frequent leaf or template, with their numbers."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole, 4_000_000):
+                raw = to_bytes(batch.column("text"))
+                lines, told = Lines(raw), tree.of(batch)
+                pick = (lines.tokens > 0) & ((told.counts(lines.plain, lines.of_doc) > 0) | lines.deep & (told.counts(lines.leaf, lines.of_doc) > 0))
+                texts, numbers = [], []
+                for i, text in enumerate(raw):
+                    own = np.flatnonzero(pick[lines.offsets[i] : lines.offsets[i + 1]])
+                    cut = text.split(b"\n") if len(own) else []
+                    texts.append(b"\n".join([cut[j] for j in own.tolist()]))
+                    numbers.append(own.astype(np.int32).tobytes())
+                columns = [*(batch.column(i) for i in range(others)), pa.array(texts, pa.binary()), pa.array(numbers, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:others], "lines", "numbers"])
+
+    return run
+
+
+def _tokens(n_parts: int, min_docs: int, tree: Told):
     """Tokens, with place and leaf, of the lines of frequent leaves."""
 
     def write(batches):
         for whole in batches:
             for batch in slices(whole, 4_000_000):
-                lines = Lines(to_bytes(batch.column("text")))
-                leaves = Known(batch.column("found").to_pylist())
+                lines = Lines(to_bytes(batch.column("lines")))
+                of_leaf = tree.of(batch).counts(lines.leaf, lines.of_doc)
                 at, hashes = lines.inner()
-                pick = (leaves.counts(lines.leaf, lines.of_doc) > 0)[lines.line[at]]
-                yield _ranged(hashes[pick], lines.of_doc[lines.line[at[pick]]], batch.column("doc_id").to_numpy(zero_copy_only=False), n_parts)
+                mine = of_leaf[lines.line[at]]
+                pick = mine >= min_docs
+                least = np.maximum(min_docs, np.ceil(mine[pick] * SHARE))
+                yield _ranged(hashes[pick], lines.of_doc[lines.line[at[pick]]], batch.column("doc_id").to_numpy(zero_copy_only=False), n_parts, least)
 
     return write
 
 
-def _templates(n_parts: int, min_docs: int):
-    """All templates of the lines of documents that were told frequent leaves, templates or tokens."""
+def _templates(n_parts: int, min_docs: int, tree: Told, inner: Told):
+    """Both templates of the candidate lines."""
 
     def write(batches):
         for whole in batches:
             for batch in slices(whole, 4_000_000):
-                lines = Lines(to_bytes(batch.column("text")))
-                told = [Known(*(batch.column(c).to_pylist() for c in pair)) for pair in (("found", "counts"), ("inner", "inner_counts"))]
-                plain = (told[0].counts(lines.plain, lines.of_doc) > 0) & (lines.tokens > 0)
-                hashes, rows = [lines.plain[plain]], [lines.of_doc[plain]]
-                for found in lines.learned(*told, min_docs):
-                    more = lines.deep & (found != lines.plain)
-                    hashes.append(found[more])
-                    rows.append(lines.of_doc[more])
-                yield _ranged(np.concatenate(hashes), np.concatenate(rows), batch.column("doc_id").to_numpy(zero_copy_only=False), n_parts)
+                lines, told = Lines(to_bytes(batch.column("lines"))), tree.of(batch)
+                plain = (told.counts(lines.plain, lines.of_doc) > 0) & (lines.tokens > 0)
+                found = lines.learned(told, inner.of(batch), min_docs)
+                more = lines.deep & (found != lines.plain)
+                hashes, rows = np.concatenate([lines.plain[plain], found[more]]), np.concatenate([lines.of_doc[plain], lines.of_doc[more]])
+                yield _ranged(hashes, rows, batch.column("doc_id").to_numpy(zero_copy_only=False), n_parts)
 
     return write
 
@@ -205,7 +257,8 @@ def _frequent(min_docs: int):
         h, n = h[order], n[order].astype(np.int64)
         first = _starts(h)
         n = np.add.reduceat(n, first) if len(first) else n
-        pick = n >= min_docs
+        own = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("least").to_pylist()])
+        pick = n >= (own[order][first] if len(own) else min_docs)
         return pa.table({"part": table.column("part")[:1], "shared": pa.array([h[first][pick].tobytes()], pa.binary()), "total": pa.array([np.minimum(n[pick], 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())})
 
     return merge
@@ -295,30 +348,54 @@ def _over_classes(min_docs: int):
     return merge
 
 
-def _dropper(min_docs: int, others: int):
+def _recur(lines: Lines, batch, min_docs: int, tree: Told, inner: Told, last: Told) -> np.ndarray:
+    recurring = last.of(batch)
+    drop = recurring.counts(lines.plain, lines.of_doc) > 0
+    drop |= recurring.counts(lines.learned(tree.of(batch), inner.of(batch), min_docs), lines.of_doc) > 0
+    return drop & (lines.tokens > 0)
+
+
+def _numbers(min_docs: int, *told: Told):
+    """The numbers of the lines of each row that recur."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for whole in batches:
+            for batch in slices(whole, 4_000_000):
+                lines = Lines(to_bytes(batch.column("lines")))
+                drop = _recur(lines, batch, min_docs, *told)
+                out = [np.frombuffer(x, np.int32)[drop[a:b][: len(x) // 4]].tobytes() for x, a, b in zip(batch.column("numbers").to_pylist(), lines.offsets[:-1], lines.offsets[1:])]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(out, pa.binary())], ["doc_id", "row", "gone"])
+
+    return run
+
+
+def _dropper(others: int, min_docs: int = 0, *told: Told):
+    """Texts without their recurring lines: those numbered in ``gone``, or found again where all is told to all."""
+
     def run(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
         for whole in batches:
             for batch in slices(whole):
-                raw = to_bytes(batch.column("text"))
-                lines = Lines(raw)
-                told = [Known(*(batch.column(c).to_pylist() for c in pair)) for pair in (("found", "counts"), ("inner", "inner_counts"))]
-                recurring = Known(batch.column("recurring").to_pylist())
-                drop = recurring.counts(lines.plain, lines.of_doc) > 0
-                for found in lines.learned(*told, min_docs):
-                    drop |= recurring.counts(found, lines.of_doc) > 0
-                drop &= lines.tokens > 0
-                texts, dropped = [], []
-                for i, text in enumerate(raw):
-                    own = drop[lines.offsets[i] : lines.offsets[i + 1]]
-                    texts.append(b"\n".join([x for x, d in zip(text.split(b"\n"), own.tolist()) if not d]) if own.any() else text)
-                    dropped.append(int(own.sum()))
-                kept = pa.array(texts, pa.binary()).cast(pa.string())
-                null = batch.column("text").is_null()
-                kept = pc.if_else(null, pa.nulls(len(kept), pa.string()), kept)
-                columns = [*(batch.column(i) for i in range(others)), kept, pa.array(np.diff(lines.offsets)), pa.array(dropped, pa.int64())]
+                raw, texts, n_lines, dropped = to_bytes(batch.column("text")), [], [], []
+                if told:
+                    lines = Lines(raw)
+                    drop = _recur(lines, batch, min_docs, *told)
+                    gone = [np.flatnonzero(drop[a:b]) for a, b in zip(lines.offsets[:-1], lines.offsets[1:])]
+                else:
+                    gone = [np.frombuffer(x or b"", np.int32) for x in batch.column("gone").to_pylist()]
+                for text, numbers in zip(raw, gone):
+                    cut = text.split(b"\n")
+                    keep = np.ones(len(cut), bool)
+                    keep[numbers] = False
+                    texts.append(b"\n".join([x for x, k in zip(cut, keep.tolist()) if k]))
+                    n_lines.append(len(cut))
+                    dropped.append(len(numbers))
+                kept = pc.if_else(batch.column("text").is_null(), pa.nulls(len(texts), pa.string()), pa.array(texts, pa.binary()).cast(pa.string()))
+                columns = [*(batch.column(i) for i in range(others)), kept, pa.array(n_lines, pa.int64()), pa.array(dropped, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:others], "kept_text", "n_lines", "n_dropped"])
 
     return run
@@ -328,37 +405,64 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, keep: tuple[str, .
     """doc_id, the columns ``keep``, kept_text, n_lines, n_dropped of all rows of documents with recurring lines."""
     spark = docs.sparkSession
     scratch, n = Scratch(spark, "lines"), hash_ranges(docs)
-    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.struct(F.lit(0).alias("wayfold_none"), *keep).alias("others"))
+    others = F.struct(F.lit(0).alias("wayfold_none"), *keep).alias("others")
+    docs = docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col("text").cast("string"), others)
+    # rows of one doc_id are told apart by their texts
+    row = F.xxhash64("text").alias("row")
 
     def counted(rows: DataFrame, write, name: str) -> DataFrame:
         return scratch.save(rows.mapInArrow(write, _COUNTED), name)
 
-    def told(index: DataFrame, merge, name: str, holders: DataFrame | None = None) -> DataFrame:
-        """doc_id, found, counts: the frequent hashes of the documents that hold any."""
-        shared = index.select("part", "hashes", "docs", "holders") if holders is not None else index.select("part", "hashes", "holders")
-        shared = scratch.save(shared.groupBy("part").applyInArrow(merge, "part int, shared binary, total binary").where(F.length("shared") > 0), f"{name}-shared")
-        held = (holders if holders is not None else index).join(shared, "part").select("hashes", "docs", "holders", "shared", "total").mapInArrow(_told(n), _DEALT)
-        return scratch.save(held.groupBy("part").applyInArrow(_by_document, "doc_id long, found binary, counts binary"), name)
-
-    texts = docs.select("doc_id", "text")
-    tree = told(counted(texts, _tree(n), "tree"), _frequent(min_docs), "told")
-    known = with_ids(docs, tree).join(tree, "doc_id")
-    inner = told(counted(known.select("doc_id", "text", "found"), _tokens(n), "tokens"), _frequent(min_docs), "inner")
-    inner = inner.select("doc_id", F.col("found").alias("inner"), F.col("counts").alias("inner_counts"))
-    known = scratch.save(known.join(inner, "doc_id", "left"), "known")
-    templates = counted(known.drop("others"), _templates(n, min_docs), "templates")
-    held = told(templates, _frequent(min_docs), "held")
-    for name in ("tree", "tokens", "told", "inner"):
+    def frequent(index: DataFrame, merge, name: str) -> tuple[DataFrame, Told]:
+        """part, shared, total of the frequent hashes, and the way in which they are told."""
+        # no column of documents is read where counts are enough
+        index = index if merge is over_classes else index.drop("docs")
+        shared = scratch.save(index.groupBy("part").applyInArrow(merge, "part int, shared binary, total binary").where(F.length("shared") > 0), f"{name}-shared")
+        size = shared.agg(F.sum(F.length("shared") + F.length("total"))).first()[0] or 0
+        return shared, Told(name, spark.sparkContext.broadcast(Everywhere(shared.collect())) if size <= BROADCAST_BYTES else None)
+
+    def by_document(shared: DataFrame, holders: DataFrame, name: str) -> DataFrame:
+        """doc_id, <name>, <name>_counts: the frequent hashes of the documents that hold any."""
+        held = holders.join(shared, "part").select("hashes", "docs", "holders", "shared", "total").mapInArrow(_told(n), _DEALT)
+        found = held.groupBy("part").applyInArrow(_by_document, "doc_id long, found binary, counts binary")
+        return scratch.save(found.select("doc_id", F.col("found").alias(name), F.col("counts").alias(f"{name}_counts")), name)
+
+    counts, over_classes = _frequent(min_docs), _over_classes(min_docs)
+    texts, binary = docs.select("doc_id", row, "text"), " binary, {0}_counts binary"
+    index = counted(texts, _tree(n), "tree")
+    shared, tree = frequent(index, counts, "leaves")
+    fields = "doc_id long, row long"
+    if tree.everywhere is None:
+        told = by_document(shared, index, "leaves")
+        texts = with_ids(texts, told).join(told, "doc_id").select("doc_id", "row", "leaves", "leaves_counts", "text")
+        fields += ", leaves" + binary.format("leaves")
+    known = scratch.save(texts.mapInArrow(_candidates(tree, fields.count(",") + 1), fields + ", lines binary, numbers binary").where(F.length("numbers") > 0), "lines")
+    index = counted(known, _tokens(n, min_docs, tree), "tokens")
+    shared, inner = frequent(index, counts, "inner")
+    if inner.everywhere is None:
+        known = scratch.save(known.join(by_document(shared, index, "inner"), "doc_id", "left"), "known")
+    templates = counted(known, _templates(n, min_docs, tree, inner), "templates")
+    held = by_document(frequent(templates, counts, "held")[0], templates, "held")
+    for name in ("tree", "tokens"):
         scratch.drop(name)
-    classes = near_duplicates(with_ids(known.select("doc_id", "text"), held), WIDTH, PERCENT).groupBy("doc_id").agg(F.min("component_id").alias("class_id"))
-    of_classes = held.join(classes, "doc_id").select("class_id", "found").mapInArrow(_of_classes(n), _COUNTED)
-    recurring = told(of_classes, _over_classes(min_docs), "recurring", templates).select("doc_id", F.col("found").alias("recurring"))
-    found = with_ids(known, recurring).join(recurring, "doc_id")
-    others = docs.schema["others"].dataType.simpleString()
-    columns = ["doc_id", "others", "text", "found", "counts", "inner", "inner_counts", "recurring"]
-    out = found.select(*columns).mapInArrow(_dropper(min_docs, 2), f"doc_id long, others {others}, kept_text string, n_lines long, n_dropped long")
-    changed = scratch.save(out, "changed")
-    for name in ("known", "templates", "held"):
+    texts = docs.select("doc_id", "text")
+    classes = near_duplicates(with_ids(texts, held), WIDTH, PERCENT).groupBy("doc_id").agg(F.min("component_id").alias("class_id"))
+    of_classes = held.join(classes, "doc_id").select("class_id", F.col("held").alias("found")).mapInArrow(_of_classes(n), _COUNTED)
+    shared, last = frequent(of_classes, over_classes, "recurring")
+    if last.everywhere is None:
+        known = known.join(by_document(shared, templates, "recurring"), "doc_id")
+    gone = known.mapInArrow(_numbers(min_docs, tree, inner, last), "doc_id long, row long, gone binary").where(F.length("gone") > 0)
+    gone = scratch.save(gone.dropDuplicates(["doc_id", "row"]), "gone")
+    found = with_ids(docs.select("doc_id", "others", "text", row), gone)
+    if all(x.everywhere is not None for x in (tree, inner, last)):
+        drop = _dropper(2, min_docs, tree, inner, last)
+        found = found.select("doc_id", "others", "text")
+    else:
+        drop = _dropper(2)
+        found = found.join(gone, ["doc_id", "row"], "left").select("doc_id", "others", "text", "gone")
+    kind = docs.schema["others"].dataType.simpleString()
+    changed = scratch.save(found.mapInArrow(drop, f"doc_id long, others {kind}, kept_text string, n_lines long, n_dropped long"), "changed")
+    for name in ("lines", "known", "templates", "held"):
         scratch.drop(name)
     return changed.select("doc_id", *[F.col("others")[c].alias(c) for c in keep], "kept_text", "n_lines", "n_dropped")
 
