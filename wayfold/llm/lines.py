@@ -55,9 +55,9 @@ class Lines:
     def __init__(self, texts: list[bytes]):
         buffer = b"\n".join(texts)
         data = np.frombuffer(buffer, np.uint8)
-        hashes, starts, ends = word_hashes(buffer)
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-        variable = digits[ends] > digits[starts]
+        hashes, starts, _ = word_hashes(buffer)
+        variable = np.zeros(len(starts), bool)
+        variable[np.searchsorted(starts, np.flatnonzero(_DIGIT[data]), "right") - 1] = True
         breaks = np.flatnonzero(data == 10)
         self.line = np.searchsorted(breaks, starts)
         n_lines = len(breaks) + 1

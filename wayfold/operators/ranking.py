@@ -60,29 +60,25 @@ def by_city(rows: DataFrame, cities: DataFrame) -> DataFrame:
     return out
 
 
-def bootstrap(per_user: DataFrame, rounds: int = 2000, seed: int = 42) -> DataFrame:
-    """city, low, high: percentile interval of x - y with users resampled inside each city.
-
-    per_user: city, u, n, x, y with sums already taken, so a group is one small row for each user.
-    """
+#: Chances that a Poisson variable of mean 1 is at most 0, 1, ... 8 (exp(-1) times the partial sums of 1 / k!).
+_AT_MOST = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]
 
-    def run(key, pdf):
-        import zlib
 
-        import numpy as np
-        import pandas as pd
-
-        pdf = pdf.sort_values("u")
-        random = np.random.default_rng([seed, zlib.crc32(str(key[0]).encode())])
-        n, d = pdf["n"].to_numpy(float), (pdf["x"] - pdf["y"]).to_numpy(float)
-        found = np.empty(rounds)
-        for i in range(rounds):
-            pick = random.integers(0, len(pdf), len(pdf))
-            found[i] = d[pick].sum() / n[pick].sum()
-        low, high = np.percentile(found, [2.5, 97.5])
-        return pd.DataFrame({"city": [key[0]], "diff": [d.sum() / n.sum()], "low": [low], "high": [high]})
+def bootstrap(per_user: DataFrame, rounds: int = 2000, seed: int = 42) -> DataFrame:
+    """city, diff, low, high, relative_low, relative_high: 95 % intervals of x - y, absolute and in percent of y.
 
-    return per_user.groupBy("city").applyInPandas(run, "city string, diff double, low double, high double")
+    Users are resampled inside their city by Poisson weights, which a digest of (seed, user, round)
+    fixes; rounds are rows and their sums grouped, so no city's users meet in one task, and every run
+    gives the same intervals.  per_user(city, u, n, x, y) holds sums.  A round without users is left out.
+    """
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("u").cast("string"), F.col("round").cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
+    weight = sum((F.when(F.col("drawn") >= x, 1).otherwise(0) for x in _AT_MOST[1:]), F.when(F.col("drawn") >= _AT_MOST[0], 1).otherwise(0))
+    rows = per_user.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("drawn", drawn).withColumn("w", weight).where("w > 0")
+    sums = rows.groupBy("city", "round").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in "nxy"])
+    found = sums.select("city", ((F.col("x") - F.col("y")) / F.col("n")).alias("d"), F.when(F.col("y") != 0, (F.col("x") - F.col("y")) / F.col("y") * 100).alias("r"))
+    ends = [F.percentile(c, p).alias(name) for c, p, name in (("d", 0.025, "low"), ("d", 0.975, "high"), ("r", 0.025, "relative_low"), ("r", 0.975, "relative_high"))]
+    point = per_user.groupBy("city").agg(((F.sum("x") - F.sum("y")) / F.sum("n")).alias("diff"))
+    return point.join(found.groupBy("city").agg(*ends), "city", "left")
 
 
 def filtered(predictions: Column, legal, k: int = 10) -> list[Column]:

@@ -28,11 +28,54 @@ def table_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("header", True).schema(schema).csv(path)
 
 
-def records(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A JSON list, JSON lines, or a folder of either, told apart by the first character; order is kept in file and row."""
-    head = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    multi = bool(head) and head[0][0].lstrip("﻿ \t").startswith("[")
-    return spark.read.schema(schema).option("multiLine", multi).json(path).select("*", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))
+def events_counted(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(events, one row of rows and dropped): lines that are no object or lack a field are dropped and counted."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "^\ufeff", "").alias("value")).where(F.trim("value") != "")
+    parsed = lines.select(F.from_json("value", EVENT_SCHEMA).alias("e"))
+    names = [f.split()[0] for f in EVENT_SCHEMA.split(", ")]
+    good = F.coalesce(F.col("e").isNotNull() & F.forall(F.array(*[F.col(f"e.{n}") for n in names]), lambda x: x.isNotNull() & (x != "")), F.lit(False))
+    report = parsed.agg(F.count("*").alias("rows"), F.count_if(~good).alias("dropped"))
+    return parsed.where(good).select("e.*"), report
+
+
+def records(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
+    """JSON lists and JSON lines, each file told apart by its first character; file and row keep the order.
+
+    A file that begins with a bracket is one document, parsed whole by one task; all others are lines.
+    Members that are no objects give no row.  ``limit`` keeps the first rows in order of file and row.
+    """
+    first = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"), F.regexp_replace("value", "^\ufeff", "").alias("value")).where(F.trim("value") != "")
+    kinds = first.groupBy("file").agg(F.min(F.struct("row", F.ltrim("value").startswith("[").alias("whole"))).alias("f")).select("file", "f.whole")
+    known = {r.file: r.whole for r in kinds.collect()}  # one row for each file
+    whole, lines = [f for f, w in known.items() if w], [f for f, w in known.items() if not w]
+    parts = []
+    if lines:
+        one = first.where(F.col("file").isin(lines)) if whole else first
+        parts.append(one.select("file", "row", F.from_json("value", schema).alias("r")).where("r is not null"))
+    if whole:
+        text = spark.read.option("wholetext", True).text(whole).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+        members = text.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("row", "value"))
+        parts.append(members.where(F.ltrim("value").startswith("{")).select("file", F.col("row").cast("long").alias("row"), F.from_json("value", schema).alias("r")))
+    found = parts[0] if parts else spark.createDataFrame([], f"file string, row long, r struct<{schema_fields(schema)}>")
+    found = found.unionByName(parts[1]) if len(parts) > 1 else found
+    if limit is not None:
+        found = found.orderBy("file", "row").limit(limit)
+    return found.select("r.*", "file", "row")
+
+
+def schema_fields(schema: str) -> str:
+    """``a int, b string`` as the fields of a struct type."""
+    return ", ".join(f"{name}: {kind}" for name, kind in (x.strip().split(" ", 1) for x in schema.split(",")))
+
+
+def json_list(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
+    """The objects of one JSON list in their order; any other document is an error, other members are dropped."""
+    text = spark.read.option("wholetext", True).text(path).select(F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("value"))
+    bad = F.raise_error(F.lit("the document is not a JSON list")).cast("array<string>")
+    members = F.when(F.col("value").startswith("["), F.coalesce(F.from_json("value", "array<string>"), bad)).otherwise(bad)
+    found = text.select(F.posexplode(members).alias("row", "value")).where(F.ltrim("value").startswith("{"))
+    found = found.select("row", F.from_json("value", schema).alias("r")).select("row", "r.*")
+    return found.orderBy("row").limit(limit) if limit is not None else found
 
 
 def geojson(spark: SparkSession, path: str) -> DataFrame:
@@ -43,18 +86,71 @@ def geojson(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.col("adcode").alias("code"), "name", F.when(F.col("type") == "Polygon", one).otherwise(many).alias("shape"))
 
 
-def vectors_npz(spark: SparkSession, path: str) -> DataFrame:
-    """pid, v of an archive with pids and embeddings; ids must be unique and values finite."""
-    import io
-
-    import numpy as np
-
-    data = spark.read.format("binaryFile").load(path).select("content").first()[0]
-    with np.load(io.BytesIO(data)) as z:
-        pids, rows = z["pids"], z["embeddings"]
-    if len(set(pids.tolist())) != len(pids) or not np.isfinite(rows).all():
-        raise ValueError("vector ids must be unique and values finite")
-    return spark.createDataFrame([(int(p), [float(x) for x in r]) for p, r in zip(pids, rows)], "pid long, v array<float>")
+#: The codes of province-level cities.
+PROVINCES = ("110000", "120000", "310000", "500000", "810000", "820000")
+
+
+def boundaries(spark: SparkSession, provinces: str | None, cities: str | None) -> DataFrame:
+    """code, name, shape: the province-level cities of one file, and all features of the others (``*_full.json``)."""
+    found = []
+    if provinces:
+        found.append(geojson(spark, provinces).where(F.col("code").isin(*PROVINCES)))
+    if cities:
+        found.append(geojson(spark, cities))
+    if not found:
+        raise ValueError("no boundary files are given")
+    return found[0].unionByName(found[1]) if len(found) > 1 else found[0]
+
+
+def vectors(spark: SparkSession, path: str, rows: int = 1000) -> DataFrame:
+    """pid, v of archives (.npz) with pids and embeddings, or of pickled dicts of lists and arrays.
+
+    Each file is opened by the task that reads it and sent on in batches; ids must be unique and values
+    finite, which is checked when the result is read.  A pickle may hold arrays and plain values only.
+    """
+
+    def unpack(batches):
+        import io
+        import pickle
+
+        import numpy as np
+        import pyarrow as pa
+
+        class Plain(pickle.Unpickler):
+            def find_class(self, module, name):
+                if module.split(".")[0] == "numpy" and name in ("_reconstruct", "ndarray", "dtype", "scalar", "_frombuffer"):
+                    return super().find_class(module, name)
+                raise pickle.UnpicklingError(f"{module}.{name} is no plain value")
+
+        for batch in batches:
+            for data in batch.column("content").to_pylist():
+                if data[:2] == b"PK":
+                    with np.load(io.BytesIO(data)) as z:
+                        pids, found = z["pids"], z["embeddings"]
+                else:
+                    held = Plain(io.BytesIO(data)).load()
+                    pids, found = (held["pids"], held["embeddings"]) if "pids" in held else (list(held), list(held.values()))
+                pids, found = np.asarray(pids, np.int64), np.asarray(found, np.float32)
+                for at in range(0, len(pids), rows):
+                    part = np.ascontiguousarray(found[at : at + rows])
+                    offsets = pa.array(np.arange(len(part) + 1) * part.shape[1], pa.int32())
+                    yield pa.RecordBatch.from_arrays([pa.array(pids[at : at + rows]), pa.ListArray.from_arrays(offsets, pa.array(part.ravel()))], ["pid", "v"])
+
+    from ..operators.checks import all_finite, unique
+
+    return unique(all_finite(spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "pid long, v array<float>"), [], ["v"]), "pid")
+
+
+def renamed(df: DataFrame, aliases: dict[str, list[str]]) -> DataFrame:
+    """Columns under the names that aliases lead to: an exact name first, then whatever its case, in order of the candidates."""
+    lower = {c.lower(): c for c in df.columns}
+    found = {}
+    for name, candidates in aliases.items():
+        hit = next((c if c in df.columns else lower[c.lower()] for c in candidates if c in df.columns or c.lower() in lower), None)
+        if hit is None:
+            raise ValueError(f"none of {', '.join(candidates)} is among {', '.join(df.columns)}")
+        found[hit] = name
+    return df.withColumnsRenamed(found)
 
 
 def required(df: DataFrame, columns: list[str]) -> DataFrame:
