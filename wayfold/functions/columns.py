@@ -58,8 +58,9 @@ def prompt_parts(c: Column) -> list[Column]:
 
 
 def sid_tokens(levels: Column) -> Column:
-    """[3, 1] as <a_3><b_1>."""
-    return F.array_join(F.transform(levels, lambda v, i: F.concat(F.lit("<"), F.char(i + 97), F.lit("_"), v.cast("string"), F.lit(">"))), "")
+    """[3, 1] as <a_3><b_1>; more levels than letters are an error."""
+    text = F.array_join(F.transform(levels, lambda v, i: F.concat(F.lit("<"), F.char(i + 97), F.lit("_"), v.cast("string"), F.lit(">"))), "")
+    return F.when(F.size(levels) > 26, F.raise_error(F.lit("a code has at most 26 levels")).cast("string")).otherwise(text)
 
 
 def sid_canonical(c: Column) -> Column:
@@ -76,7 +77,7 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
 
 
 def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
-    """Geohash text: a cell's number along each axis, their bits dealt in turn, five to a letter."""
+    """Geohash text: a cell's number along each axis, their bits dealt in turn, five to a letter; a point off the map is an error."""
     bits = 5 * precision
     wide, high = (bits + 1) // 2, bits // 2
     x = F.least(F.floor((lon + 180) / 360 * (1 << wide)), F.lit((1 << wide) - 1))
@@ -84,7 +85,8 @@ def geohash(lat: Column, lon: Column, precision: int = 7) -> Column:
     x, y = F.lpad(F.bin(x.cast("long")), wide, "0"), F.lpad(F.bin(y.cast("long")), high, "0")
     dealt = F.concat(*[F.substring(x if i % 2 == 0 else y, i // 2 + 1, 1) for i in range(bits)])
     letters = [F.substring(F.lit(GEOHASH), F.conv(F.substring(dealt, 5 * i + 1, 5), 2, 10).cast("int") + 1, F.lit(1)) for i in range(precision)]
-    return F.concat(*letters)
+    off = ~F.coalesce(lat.between(-90, 90) & lon.between(-180, 180), F.lit(False))
+    return F.when(off, F.raise_error(F.lit("a coordinate is out of range")).cast("string")).otherwise(F.concat(*letters))
 
 
 def spherical(lat: Column, lon: Column) -> list[Column]:

@@ -41,7 +41,7 @@ def ordered_csv(spark, sf_dir):
     """One CSV file in order, line by line."""
     path = _place(spark, "ordered.csv")
     sinks.write_ordered_csv(B.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"), path, ["s_nationkey", "s_suppkey"])
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
     return lines.where("line > 0 and text != ''").select(F.col("line").cast("long").alias("line"), "text")
 
 
@@ -94,9 +94,9 @@ def jsonl_counts(spark, sf_dir):
 def checkins_scan(spark, sf_dir):
     """Eight-column lines with and without a ninth column; the latter go."""
     path, e = _place(spark, "checkins"), B.table(spark, sf_dir, "events")
-    fields = [F.col("user_id").cast("string"), F.col("event_type"), F.lit("c1"), F.lit("Café"), F.lit("40.5"), F.lit("-73.9"), F.lit("480"), F.concat(F.date_format("ts", "EEE MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format("ts", "yyyy"))]
+    fields = [F.col("user_id").cast("string"), F.col("event_type"), F.lit("c1"), F.lit("Cafe"), F.lit("40.5"), F.lit("-73.9"), F.lit("480"), F.concat(F.date_format("ts", "EEE MMM dd HH:mm:ss"), F.lit(" +0000 "), F.date_format("ts", "yyyy"))]
     line = F.concat_ws("\t", *fields, F.when(F.col("event_id") % 5 == 0, F.lit("more")))
-    e.select(F.encode(line, "ISO-8859-1").alias("b")).select(F.decode("b", F.lit("ISO-8859-1")).alias("value")).write.text(path)
+    e.select(line.alias("value")).write.text(path)
     read = readers.checkins_tsv(spark, path).where("time is not null and latitude = 40.5")
     return read.groupBy("user_id", "poi_id").agg(F.count("*").alias("n"))
 
@@ -276,7 +276,7 @@ def encoded_labels(spark, sf_dir):
     return features.encoded_labels(samples, samples.where("id % 3 != 0 and id % 10 != 0"))
 
 
-_REASONS = ORACLE_LABELS = Q.ORACLES["encoded_labels"]
+_REASONS = Q.ORACLES["encoded_labels"]
 
 
 @query(f"SELECT coalesce(reason, 'kept') AS reason, count(*) AS n FROM ({_REASONS}) GROUP BY 1")

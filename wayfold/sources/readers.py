@@ -53,7 +53,7 @@ def records(spark: SparkSession, path: str, schema: str, limit: int | None = Non
         one = first.where(F.col("file").isin(lines)) if whole else first
         parts.append(one.select("file", "row", F.from_json("value", schema).alias("r")).where("r is not null"))
     if whole:
-        text = spark.read.option("wholetext", True).text(whole).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
+        text = spark.read.text(whole, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("value"))
         members = text.select("file", F.posexplode(F.from_json("value", "array<string>")).alias("row", "value"))
         parts.append(members.where(F.ltrim("value").startswith("{")).select("file", F.col("row").cast("long").alias("row"), F.from_json("value", schema).alias("r")))
     found = parts[0] if parts else spark.createDataFrame([], f"file string, row long, r struct<{schema_fields(schema)}>")
@@ -70,7 +70,7 @@ def schema_fields(schema: str) -> str:
 
 def json_list(spark: SparkSession, path: str, schema: str, limit: int | None = None) -> DataFrame:
     """The objects of one JSON list in their order; any other document is an error, other members are dropped."""
-    text = spark.read.option("wholetext", True).text(path).select(F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("value"))
+    text = spark.read.text(path, wholetext=True).select(F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("value"))
     bad = F.raise_error(F.lit("the document is not a JSON list")).cast("array<string>")
     members = F.when(F.col("value").startswith("["), F.coalesce(F.from_json("value", "array<string>"), bad)).otherwise(bad)
     found = text.select(F.posexplode(members).alias("row", "value")).where(F.ltrim("value").startswith("{"))
