@@ -59,3 +59,26 @@ def test_empty_table_and_other_columns(spark):
     assert near_duplicates(empty).count() == 0
     one = spark.createDataFrame([(1, "a b c d e f", "x", 2)], "doc_id long, text string, component string, bands int")
     assert [tuple(r) for r in near_duplicates(one).collect()] == [(1, 2, 1, 1, True)]
+
+
+def test_structured_words_and_ties(spark):
+    """Words that a polynomial hash modulo a power of two cannot tell apart, and pairs right at the threshold."""
+    rows, word = [], "a"
+    for _ in range(12):
+        word += word.translate(str.maketrans("ab", "ba"))
+        other = word.translate(str.maketrans("ab", "ba"))
+        if len(word) in (512, 1024, 4096):
+            rows += [(len(rows), f"{w} one two three four") for w in (word, other)] + [(len(rows) + 2, word), (len(rows) + 3, other)]
+    base = [f"t{i}" for i in range(93)]
+    rows += [(100, " ".join(base)), (101, " ".join(base[:74] + ["x", *base[75:]])), (102, " ".join(base[:72] + ["y", *base[73:]][:20]))]
+    rows += [(110, " ".join(f"v{i}" for i in range(12))), (111, " ".join(f"v{i}" for i in range(10)))]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80)
+    assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows, 4, 80)
+
+
+def test_repeated_rows_and_null_ids(spark):
+    """Equal rows are one document; rows of one id with different texts are sketched each; a null id links nothing."""
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(1, text), (1, text), (5, text + " more"), (7, "quite other words stand in here"), (7, "and these are the second text of it"), (None, text), (None, None)]
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect())
+    assert got == sorted([("1", 37, "1", True), ("1", 37, "1", True), ("5", 38, "1", False), ("7", 3, "7", True), ("7", 5, "7", True), ("None", 37, "1", False), ("None", 0, "None", False)])

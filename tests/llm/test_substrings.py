@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import pytest
+from pyspark.sql import Row
+
 from wayfold.llm.substrings import FingerprintIndex, remove_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -48,16 +51,50 @@ def test_same_as_dictionary_of_windows(spark):
         assert {(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()} == brute(rows, 20)
 
 
-def test_compacted_runs_find_the_same(spark):
+def test_compacted_runs_and_later_sessions_find_the_same(spark, tmp_path):
     rows = corpus(4, 60)
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    found = []
-    for fan_in in (9, 1):
-        index = FingerprintIndex(spark, fan_in=fan_in)
-        got = [index.add(frame.where(f"doc_id between {lo} and {lo + 39}"), frame) for lo in range(0, 120, 40)]
-        found.append(sorted((r.doc_id, bytes(r.hashes)) for x in got for r in x.collect() if len(r.hashes)))
-        assert len(index.runs) <= fan_in + 1
-    assert sorted({(d, h[i : i + 8]) for d, h in found[0] for i in range(0, len(h), 8)}) == sorted({(d, h[i : i + 8]) for d, h in found[1] for i in range(0, len(h), 8)})
+    cuts, found = range(0, 120, 24), []
+    for kind in ("one", "many", "compacted", "reopened"):
+        folder = f"file://{tmp_path}/index" if kind == "reopened" else None
+        index = FingerprintIndex(spark, fan_in={"compacted": 1, "reopened": 2}.get(kind, 9), folder=folder)
+        got = []
+        for lo in [0] if kind == "one" else cuts:
+            if kind == "reopened" and lo:
+                index = FingerprintIndex.open(spark, folder)
+            batch = frame if kind == "one" else frame.where(f"doc_id between {lo} and {lo + 23}")
+            got.append(index.add(batch, frame))
+            assert len(index.runs) <= max(2, index.fan_in)
+        found.append({(r.doc_id, r.hashes[i : i + 8]) for x in got for r in map(lambda r: Row(doc_id=r.doc_id, hashes=bytes(r.hashes)), x.collect()) for i in range(0, len(r.hashes), 8)})
+    assert found[0] and all(x == found[0] for x in found)
+    # the runs that were compacted are gone, and an index is not overwritten
+    assert sorted(x.name for x in (tmp_path / "index").iterdir() if not x.name.startswith(".")) == sorted([*index.names, "manifest.json"]) and index.added == 5
+    with pytest.raises(FileExistsError):
+        FingerprintIndex(spark, folder=f"file://{tmp_path}/index")
+
+
+def twins(n):
+    """Two different words that a polynomial hash modulo a power of two cannot tell apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_structured_words_long_texts_and_null_ids(spark):
+    r = random.Random(7)
+    rows = []
+    for i, n in enumerate((512, 1024, 4096)):
+        rest = " ".join(f"u{i}{r.randrange(10**6)}" for _ in range(19))
+        rows += [(10 * i + j, f"{w} {rest}") for j, w in enumerate(twins(n))]
+    long = " ".join(f"z{r.randrange(10**9)}" for _ in range(120_000))
+    rows += [(50, long), (51, "head " + long), (52, long + " tail")]
+    nulls = [(None, rows[0][1]), (None, " ".join(["again"] * 30)), (None, None)]
+    got = remove_repeats(spark.createDataFrame([(*x, 1) for x in rows + nulls], "doc_id long, text string, hashes int").repartition(4))
+    have = [(x.doc_id, x.n_words, x.n_removed, x.kept_sha256) for x in got.collect()]
+    assert {x for x in have if x[0] is not None} == brute(rows, 20)
+    # a row without doc_id loses only what repeats inside it
+    assert sorted(x[1:3] for x in have if x[0] is None) == [(0, 0), (20, 0), (30, 29)]
 
 
 def test_empty_table_and_other_columns(spark):

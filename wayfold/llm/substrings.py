@@ -4,8 +4,11 @@ Every window of ``window`` words has one anchor: the smallest of the hashes of i
 ``inner`` words, so equal windows have equal anchors and about one place in seven is an anchor.
 The index keeps anchors, not all windows.  Documents come in batches of rising doc_id; a batch is
 written as an immutable run of segments (anchor hashes of one hash range, sorted, with the documents
-that hold them), merge-joined with the segments of all earlier runs and of its own, and runs are
-compacted into larger segments once there are more than ``fan_in``.  Documents with a shared anchor,
+that hold them), merge-joined with the segments of all earlier runs and of its own; a batch that finds
+``fan_in`` runs has them compacted into one first, and their files are dropped.  The stable sort of a
+range's concatenated segments is a merge, since it takes up sorted stretches as they are.  An index
+in a folder of its own outlives its session: runs and settings stand in a manifest there, written
+after each run, and ``open`` goes on from it.  Documents with a shared anchor,
 old or new, are verified: the full hashes of exactly the windows of those anchors are compared, and
 a window is a repeat if its words start earlier (smaller doc_id, or earlier in the document).
 
@@ -20,17 +23,19 @@ without doc_id loses only what repeats inside it; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, parts, with_ids
+from ..sources import sinks
+from .scratch import Scratch, hash_ranges, with_ids
 from .textkit import U64, Batch, slices, to_bytes, window_hashes
 
 WINDOW, INNER = 20, 8
-#: Batches in which the query feeds a table to the index, and runs kept before they are compacted.
-BATCHES, FAN_IN = 2, 4
+#: Batches in which the query feeds a table to the index, and runs at which they are compacted: the last batch meets a compacted run.
+BATCHES, FAN_IN = 3, 2
 #: Entries of a compacted segment at most; a run may have several segments for one hash range.
 SEGMENT = 2_000_000
 RUN = "part int, run int, hashes binary, many binary, docs binary, holders binary"
@@ -285,22 +290,58 @@ class FingerprintIndex:
     """Sorted immutable runs of anchors; ``add`` takes the next batch and says what it repeats.
 
     Batches must come in order of doc_id.  ``texts`` gives doc_id and text of all documents added so
-    far and is read for documents with shared anchors only.
+    far and is read for documents with shared anchors only.  With ``folder`` (in a store that all
+    share) the runs stay there for later sessions; without it they go with the session.
     """
 
-    def __init__(self, spark: SparkSession, window: int = WINDOW, inner: int = INNER, fan_in: int = FAN_IN):
-        self.scratch, self.window, self.inner, self.fan_in = Scratch(spark, "substrings"), window, inner, fan_in
-        self.parts, self.runs, self.added = parts(spark), [], 0
+    def __init__(self, spark: SparkSession, window: int = WINDOW, inner: int = INNER, fan_in: int = FAN_IN, folder: str | None = None, ranges: int | None = None):
+        self.spark, self.scratch, self.folder = spark, Scratch(spark, "substrings"), folder
+        self.window, self.inner, self.fan_in, self.parts = window, inner, fan_in, ranges
+        self.names, self.runs, self.added = [], [], 0
+        if folder and sinks.exists(spark, f"{folder}/manifest.json"):
+            raise FileExistsError(f"{folder} holds an index; open it")
+
+    @classmethod
+    def open(cls, spark: SparkSession, folder: str) -> "FingerprintIndex":
+        """The index that an earlier session left in a folder."""
+        told = json.loads(sinks.read_text(spark, f"{folder}/manifest.json"))
+        found = cls(spark, told["window"], told["inner"], told["fan_in"], None, told["ranges"])
+        found.folder, found.names, found.added = folder, told["runs"], told["added"]
+        found.runs = [spark.read.schema(RUN).parquet(f"{folder}/{name}") for name in told["runs"]]
+        return found
+
+    def _keep(self, run: DataFrame, name: str) -> DataFrame:
+        if not self.folder:
+            return self.scratch.save(run, name)
+        run.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(RUN).parquet(f"{self.folder}/{name}")
+
+    def _listed(self, old: list[str]) -> None:
+        """The manifest of the runs that count now; only then files of older ones go."""
+        if self.folder:
+            told = {"window": self.window, "inner": self.inner, "fan_in": self.fan_in, "ranges": self.parts, "added": self.added, "runs": self.names}
+            sinks.write_text(self.spark, f"{self.folder}/manifest.json", json.dumps(told))
+        for name in old:
+            sinks.remove(self.spark, f"{self.folder or self.scratch.path}/{name}")
+
+    def _index(self) -> DataFrame:
+        index = self.runs[0]
+        for run in self.runs[1:]:
+            index = index.union(run)
+        return index
 
     def add(self, batch: DataFrame, texts: DataFrame) -> DataFrame:
         """doc_id, hashes (binary, 64 bits each) of the windows of the batch that start earlier elsewhere."""
+        self.parts = self.parts or hash_ranges(texts)
+        if len(self.runs) >= self.fan_in:
+            self.compact()
         n, save = self.added, self.scratch.save
         written = batch.where("doc_id is not null").select("doc_id", "text").mapInArrow(_run_writer(self.window, self.inner, self.parts, n), RUN)
-        self.runs.append(save(written, f"run-{n}"))
+        self.runs.append(self._keep(written, f"run-{n}"))
+        self.names.append(f"run-{n}")
         self.added += 1
-        index = self.runs[0]
-        for run in self.runs[1:]:
-            index = index.union(run)
+        self._listed([])
+        index = self._index()
         shared = index.select("part", "run", "hashes", "many").groupBy("part").applyInArrow(_shared(n), "part int, shared binary")
         shared = save(shared.where(F.length("shared") > 0), f"shared-{n}")
         held = index.join(shared, "part").select("run", "hashes", "docs", "holders", "shared").mapInArrow(_holders(n, self.parts), DEALT)
@@ -313,19 +354,16 @@ class FingerprintIndex:
         found = save(across.union(windows.where("part < 0").select("doc_id", "hashes")), f"found-{n}")
         for name in ("shared", "held", "windows"):
             self.scratch.drop(f"{name}-{n}")
-        if len(self.runs) > self.fan_in:
-            self.compact()
         return found
 
     def compact(self) -> None:
-        """All runs become one: segments merged within each hash range, old files removed."""
-        index = self.runs[0]
-        for run in self.runs[1:]:
-            index = index.union(run)
+        """All runs become one, its segments merged within each hash range; the files of the old ones go."""
         # segments of a hash range are dealt to bounded groups, so a hash with very many holders fills several segments
         group = F.floor(F.sum(F.length("docs")).over(_by_part()) / (8 * SEGMENT))
-        merged = index.withColumn("g", group).groupBy("part", "g").applyInArrow(_dropping_group(_compact(self.added - 1)), RUN)
-        self.runs = [self.scratch.save(merged, f"compacted-{self.added}")]
+        merged = self._index().withColumn("g", group).groupBy("part", "g").applyInArrow(_dropping_group(_compact(self.added - 1)), RUN)
+        old, name = self.names, f"compacted-{self.added}"
+        self.runs, self.names = [self._keep(merged, name)], [name]
+        self._listed(old)
 
 
 def _by_part():
@@ -396,7 +434,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, inner: int = INNER, ba
     """doc_id, n_words, n_removed, kept_sha256, kept_text: every document without the windows that start earlier."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    index = FingerprintIndex(spark, window, inner)
+    index = FingerprintIndex(spark, window, inner, ranges=hash_ranges(docs))
     cuts = docs.select(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     found = None
     for i, (lo, hi) in enumerate(zip([None, *cuts], [*cuts, None])):
