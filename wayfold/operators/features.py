@@ -52,28 +52,32 @@ def coordinate_features() -> list[Column]:
     return out
 
 
+def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """points(g, x, ...) with c, the nearest centre of their group, the first of equals; centres(g, c, m) are broadcast."""
+    every = centres.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("centres"))
+    gap = lambda t: F.aggregate(F.zip_with("x", t["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    near = F.array_min(F.transform("centres", lambda t: F.struct(gap(t).alias("d"), t["c"].alias("c"))))
+    return points.join(F.broadcast(every), "g").withColumn("c", near["c"]).drop("centres")
+
+
 def lloyd(points: DataFrame, quotas: DataFrame, save, rounds: int = 10) -> DataFrame:
-    """id, code: k-means inside every group at once; points(id, g, x array<double>), quotas(g, k).
+    """``points`` with c: k-means inside every group at once; points(id, g, x array<double>, ...), quotas(g, k).
 
-    The first centres of a group are its k points of smallest hash.  A round sends each point to the
-    nearest centre of its group (the first of equals) and averages the points of every centre, as a
-    grouped sum; centres are few (the sum of the quotas), so they are broadcast.  A centre without
-    points stays where it is.
+    The first centres of a group are its k points of smallest hash, of which each task sends on k at
+    most.  A round sends each point to the nearest centre of its group and averages the points of
+    every centre, as grouped sums; centres are few (the sum of the quotas), so they are broadcast.  A
+    centre without points stays where it is.
     """
+    most = quotas.agg(F.max("k")).first()[0] or 0
     place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id"), "id"))
-    centres = points.join(F.broadcast(quotas), "g").withColumn("c", place - 1).where(F.col("c") < F.col("k")).select("g", "c", F.col("x").alias("m"))
-    centres = save(centres, "centres-0")
-
-    def assigned(centres: DataFrame) -> DataFrame:
-        every = centres.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("centres"))
-        near = F.array_min(F.transform("centres", lambda t: F.struct(F.aggregate(F.zip_with("x", t["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v).alias("d"), t["c"].alias("c"))))
-        return points.join(F.broadcast(every), "g").select("id", "g", "x", near["c"].alias("c"))
-
+    first = points.select("g", "id", "x").withColumn("place", place).where(F.col("place") <= F.lit(int(most)))
+    first = first.join(F.broadcast(quotas), "g").where(F.col("place") <= F.col("k"))
+    centres = save(first.select("g", (F.col("place") - 1).alias("c"), F.col("x").alias("m")), "centres-0")
+    width = len((centres.select("m").first() or [[]])[0])
     for step in range(rounds):
-        sums = assigned(centres).select("g", "c", F.posexplode("x").alias("i", "v")).groupBy("g", "c", "i").agg(F.avg("v").alias("v"))
-        means = sums.groupBy("g", "c").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "v"))), lambda t: t["v"]).alias("new"))
-        centres = save(centres.join(means, ["g", "c"], "left").select("g", "c", F.coalesce("new", "m").alias("m")), f"centres-{step + 1}")
-    return save(assigned(centres).select("id", "g", "c"), "assigned")
+        means = nearest(points.select("g", "x"), centres).groupBy("g", "c").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(width)]).alias("new"))
+        centres = save(centres.join(F.broadcast(means), ["g", "c"], "left").select("g", "c", F.coalesce("new", "m").alias("m")), f"centres-{step + 1}")
+    return nearest(points, centres)
 
 
 def region_codes(places: DataFrame, coarse: int, fine: int, save, rounds: int = 10) -> DataFrame:
@@ -87,7 +91,7 @@ def region_codes(places: DataFrame, coarse: int, fine: int, save, rounds: int =
     n = z.count()
     one = places.sparkSession.createDataFrame([(0, min(coarse, n))], "g int, k int")
     found = lloyd(z.select(F.col("pid").alias("id"), F.lit(0).alias("g"), F.array("z_lat", "z_lon").alias("x")), one, lambda d, name: save(d, f"coarse-{name}"), rounds)
-    regions = found.select(F.col("id").alias("pid"), F.col("c").alias("g"))
+    regions = save(found.select(F.col("id").alias("pid"), F.col("c").alias("g")), "regions")
     sizes = save(regions.groupBy("g").agg(F.count("*").alias("n")), "sizes")
     quotas = sqrt_allocation(sizes, min(fine, n)).select("g", F.least("quota", "n").cast("int").alias("k"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
