@@ -161,7 +161,7 @@ def test_lloyd_equals_plain_loops(spark):
     points = [(i, i % 3, [r.random(), r.random()]) for i in range(90)]
     frame, quotas = spark.createDataFrame(points, "id long, g int, x array<double>"), {0: 4, 1: 1, 2: 7}
     hashes = {x.id: x.h for x in frame.select("id", F.xxhash64("id").alias("h")).collect()}
-    got = {x.id: x.c for x in features.lloyd(frame, spark.createDataFrame(list(quotas.items()), "g int, k int"), save(spark), rounds=5).collect()}
+    got = {x.id: x.c for x in features.lloyd(frame, spark.createDataFrame(list(quotas.items()), "g int, k int"), rounds=5).collect()}
     for g, k in quotas.items():
         own = sorted((p for p in points if p[1] == g), key=lambda p: (hashes[p[0]], p[0]))
         centres, x = np.array([p[2] for p in own[:k]]), np.array([p[2] for p in own])

@@ -52,32 +52,36 @@ def coordinate_features() -> list[Column]:
     return out
 
 
-def nearest(points: DataFrame, centres: DataFrame) -> DataFrame:
-    """points(g, x, ...) with c, the nearest centre of their group, the first of equals; centres(g, c, m) are broadcast."""
-    every = centres.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("c", "m"))).alias("centres"))
+def nearest(points: DataFrame, centres: list[tuple]) -> DataFrame:
+    """points(g, x, ...) with c, the nearest centre of their group, the first of equals; centres (g, c, m) are few."""
+    groups: dict = {}
+    for g, c, m in sorted(centres, key=lambda t: t[:2]):
+        groups.setdefault(g, []).append((c, m))
+    every = points.sparkSession.createDataFrame(list(groups.items()), f"g {points.schema['g'].dataType.simpleString()}, centres array<struct<c: int, m: array<double>>>")
     gap = lambda t: F.aggregate(F.zip_with("x", t["m"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     near = F.array_min(F.transform("centres", lambda t: F.struct(gap(t).alias("d"), t["c"].alias("c"))))
-    return points.join(F.broadcast(every), "g").withColumn("c", near["c"]).drop("centres")
+    return points.join(F.broadcast(every.coalesce(1)), "g").withColumn("c", near["c"]).drop("centres")
 
 
-def lloyd(points: DataFrame, quotas: DataFrame, save, rounds: int = 10) -> DataFrame:
+def lloyd(points: DataFrame, quotas: DataFrame, rounds: int = 10) -> DataFrame:
     """``points`` with c: k-means inside every group at once; points(id, g, x array<double>, ...), quotas(g, k).
 
     The first centres of a group are its k points of smallest hash, of which each task sends on k at
     most.  A round sends each point to the nearest centre of its group and averages the points of
-    every centre, as grouped sums; centres are few (the sum of the quotas), so they are broadcast.  A
-    centre without points stays where it is.
+    every centre, as grouped sums; the driver holds the centres only (the sum of the quotas).  A centre
+    without points stays where it is.
     """
     most = quotas.agg(F.max("k")).first()[0] or 0
     place = F.row_number().over(Window.partitionBy("g").orderBy(F.xxhash64("id"), "id"))
     first = points.select("g", "id", "x").withColumn("place", place).where(F.col("place") <= F.lit(int(most)))
     first = first.join(F.broadcast(quotas), "g").where(F.col("place") <= F.col("k"))
-    centres = save(first.select("g", (F.col("place") - 1).alias("c"), F.col("x").alias("m")), "centres-0")
-    width = len((centres.select("m").first() or [[]])[0])
-    for step in range(rounds):
-        means = nearest(points.select("g", "x"), centres).groupBy("g", "c").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(width)]).alias("new"))
-        centres = save(centres.join(F.broadcast(means), ["g", "c"], "left").select("g", "c", F.coalesce("new", "m").alias("m")), f"centres-{step + 1}")
-    return nearest(points, centres)
+    centres = {(r.g, r.place - 1): list(r.x) for r in first.select("g", "place", "x").collect()}
+    width = len(next(iter(centres.values()), []))
+    listed = lambda: [(g, c, m) for (g, c), m in centres.items()]
+    for _ in range(rounds if centres else 0):
+        means = nearest(points.select("g", "x"), listed()).groupBy("g", "c").agg(F.array(*[F.avg(F.get("x", F.lit(i))) for i in range(width)]).alias("m"))
+        centres |= {(r.g, r.c): list(r.m) for r in means.collect()}
+    return nearest(points, listed())
 
 
 def region_codes(places: DataFrame, coarse: int, fine: int, save, rounds: int = 10) -> DataFrame:
@@ -90,14 +94,14 @@ def region_codes(places: DataFrame, coarse: int, fine: int, save, rounds: int =
     z = save(z_scored(places.select("pid", "lat", "lon")), "z")
     n = z.count()
     one = places.sparkSession.createDataFrame([(0, min(coarse, n))], "g int, k int")
-    found = lloyd(z.select(F.col("pid").alias("id"), F.lit(0).alias("g"), F.array("z_lat", "z_lon").alias("x")), one, lambda d, name: save(d, f"coarse-{name}"), rounds)
+    found = lloyd(z.select(F.col("pid").alias("id"), F.lit(0).alias("g"), F.array("z_lat", "z_lon").alias("x")), one, rounds)
     regions = save(found.select(F.col("id").alias("pid"), F.col("c").alias("g")), "regions")
     sizes = save(regions.groupBy("g").agg(F.count("*").alias("n")), "sizes")
     quotas = sqrt_allocation(sizes, min(fine, n)).select("g", F.least("quota", "n").cast("int").alias("k"))
     before = F.coalesce(F.sum("k").over(Window.partitionBy(F.lit(0)).orderBy("g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     quotas = save(quotas.withColumn("start", before), "quotas")  # one row for each coarse region
     points = z.join(regions, "pid").select(F.col("pid").alias("id"), "g", F.array(*coordinate_features()).alias("x"))
-    inner = lloyd(points, quotas.select("g", "k"), lambda d, name: save(d, f"fine-{name}"), rounds)
+    inner = lloyd(points, quotas.select("g", "k"), rounds)
     return inner.join(F.broadcast(quotas), "g").select(F.col("id").alias("pid"), F.col("g").cast("long").alias("a"), (F.col("start") + F.col("c")).cast("long").alias("b"))
 
 
