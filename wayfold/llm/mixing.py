@@ -31,7 +31,7 @@ from .scratch import BROADCAST_IDS, Scratch
 from .textkit import U64, Batch, slices, to_bytes
 
 TOPICS, POWER, BUDGET, ROUNDS, DRIVER_CELLS, SEED = 8, 0.7, 0.5, 200, 100_000, 3
-TOLERANCE, BUCKETS, LEARNING = 1e-7, 32, 5
+TOLERANCE, BUCKETS, LEARNING = 1e-7, 32, 4
 AXES = ("source", "lang", "topic")
 LONG_WORD = 6
 
@@ -59,7 +59,7 @@ def measured(scratch: Scratch, docs: DataFrame) -> DataFrame:
     rows = chosen.mapInArrow(_measured, "doc_id long, source string, lang string, x array<double>, n_tokens long")
     rows = scratch.save(rows.withColumn("id", F.monotonically_increasing_id()).withColumn("g", F.lit(0)), "vectors")
     one = docs.sparkSession.createDataFrame([(0, TOPICS)], "g int, k int")
-    found = lloyd(rows, one, lambda df, name: scratch.save(df, name), LEARNING)
+    found = lloyd(rows, one, LEARNING)
     return found.select("doc_id", "source", "lang", F.col("c").cast("long").alias("topic"), "n_tokens")
 
 

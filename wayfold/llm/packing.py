@@ -135,11 +135,18 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _kind(path: str, end_id: int) -> str:
-    """The type in which ids are written between the steps: 16 bits where the vocabulary allows."""
-    from tokenizers import Tokenizer
+def _kind(spark: SparkSession, path: str, end_id: int) -> str:
+    """The type in which ids are written between the steps: 16 bits where the vocabulary allows (an executor looks)."""
 
-    return "<u2" if max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    def look(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            size = _encoder(path).tokenizer.get_vocab_size()
+            yield pa.RecordBatch.from_arrays([pa.array([size] * batch.num_rows, pa.int64())], ["size"])
+
+    size = spark.range(0, 1, 1, 1).mapInArrow(look, "size long").first()[0]
+    return "<u2" if max(size, end_id + 1) <= 1 << 16 else "<u4"
 
 
 def _tokenised(path: str, end_id: int, kind: str):
@@ -229,7 +236,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, en
         import public_tokenizers
 
         tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    scratch, kind = Scratch(docs.sparkSession, "packing"), _kind(tokenizer, end_id)
+    scratch, kind = Scratch(docs.sparkSession, "packing"), _kind(docs.sparkSession, tokenizer, end_id)
     chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     keyed = chosen.mapInArrow(_tokenised(tokenizer, end_id, kind), "doc_id long, key long, n long, ids binary").withColumn("row", F.monotonically_increasing_id())
     keyed = scratch.save(keyed, "tokens")
