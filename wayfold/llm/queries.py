@@ -19,5 +19,5 @@ QUERIES = {
 }
 
 #: Votes over hosts, hashed signatures, learned machines and binary formats are beyond SQL on whole
-#: tables; tests/llm holds each of them against a brute-force version.
+#: tables; README.md says what tests/llm holds each of them against.
 ORACLES: dict[str, str] = {}
