@@ -3,7 +3,7 @@
 import random
 import re
 
-from wayfold.llm.minhash import near_duplicates
+from wayfold.llm.minhash import near_duplicates, prefix_pairs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -54,6 +54,25 @@ def test_same_components_as_all_pairs(spark):
         assert {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in got.collect()} == brute(rows, width, 80)
 
 
+def test_prefix_join_keeps_links_and_emits_few_others(spark):
+    """Edited copies of one text, each its own component: all links are among the pairs, and few pairs are no links."""
+    r = random.Random(7)
+    base = [f"w{i}" for i in range(140)]
+    rows = []
+    for i in range(200):
+        copy = list(base)
+        for at in r.sample(range(140), 1 if i % 10 == 0 else 2):
+            copy[at] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((i, t.split()) for i, t in rows)}
+    links = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    texts = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = {tuple(p) for p in prefix_pairs(texts, texts.selectExpr("doc_id", "doc_id component"), 5, 80).collect()}
+    assert links and links <= pairs
+    assert 2 * len(links) < 199 * 100
+    assert len(pairs) < 1.5 * len(links)
+
+
 def test_empty_table_and_other_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, component string, bands int")
     assert near_duplicates(empty).count() == 0

@@ -28,6 +28,8 @@ from .textkit import U64, Batch, mix, slices, to_bytes, window_hashes
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 24, 4
+#: Words of 64 bits in a parity map; a longer map tells more pairs of long texts apart.
+MAPS = 8
 #: Components settle in a few rounds; a chain of n links needs about log2(n).
 MAX_ROUNDS = 60
 
@@ -177,26 +179,34 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, width: int, percent: int)
 
     Shingles are ordered globally: first those of one component only (they match nothing elsewhere),
     then by rising document frequency.  Two sets of the similarity asked for share a shingle in the
-    first n - ceil(t n) + 1 places, and at the first one they share enough places must be left.
+    first n - ceil(t n) + 1 places, and at the first one they share enough places must be left.  What
+    two sets do not share is at least their shingles of one component only and the bits in which the
+    parity maps of the others differ (one bit for each shingle, flipped by it); a pair for which that
+    is too much is not emitted, so a large group of texts just below the threshold makes few pairs.
     """
     rows = texts.join(labels, "doc_id").select("doc_id", "component", "text").mapInArrow(
         _shingle_rows(width), "doc_id long, component long, n long, shingle long"
     )
     spread = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     met = rows.join(spread.select("shingle", "df"), "shingle")
-    listed = met.groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("order"))
+    flip = "shiftleft(1L, cast(shiftrightunsigned(shingle, 6) & 63 as int))"
+    maps = [F.expr(f"bit_xor(if(pmod(shingle, {MAPS}) = {k}, {flip}, 0L))").alias(f"map{k}") for k in range(MAPS)]
+    listed = met.groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("order"), *maps)
     least = F.ceil(F.col("n") * percent / 100)
     first = F.col("n") - F.size("order")
     taken = F.greatest(F.lit(0).cast("long"), F.col("n") - least + 1 - first)
-    entry = listed.withColumn("first", first).withColumn("order", F.slice("order", F.lit(1), taken.cast("int"))).select(
-        "doc_id", "component", "n", "first", F.posexplode("order").alias("i", "x")
-    )
-    entry = entry.select("doc_id", "component", "n", (F.col("first") + F.col("i")).alias("place"), F.col("x.shingle").alias("shingle"))
+    own = ["doc_id", "component", "n", "first", *(f"map{k}" for k in range(MAPS))]
+    entry = listed.withColumn("first", first).withColumn("order", F.slice("order", F.lit(1), taken.cast("int"))).select(*own, F.posexplode("order").alias("i", "x"))
+    entry = entry.select(*own, (F.col("first") + F.col("i")).alias("place"), F.col("x.shingle").alias("shingle"))
     a, b = entry.alias("a"), entry.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
     enough = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= need
     close = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
-    on = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & close & enough
+    apart = F.col("a.first") + F.col("b.first")
+    for k in range(MAPS):
+        apart = apart + F.bit_count(F.col(f"a.map{k}").bitwiseXOR(F.col(f"b.map{k}")))
+    alike = apart <= F.col("a.n") + F.col("b.n") - need * 2
+    on = (F.col("a.shingle") == F.col("b.shingle")) & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component")) & close & enough & alike
     return a.join(b, on).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
 
 
