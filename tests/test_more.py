@@ -225,3 +225,39 @@ def test_names_codes_and_list_text(spark):
         spark.range(1).select(C.sid_tokens(F.sequence(F.lit(0), F.lit(26)))).collect()
     with pytest.raises(ValueError):
         features.where_equal(spark.range(1), "city", "x")
+
+
+def test_leading_md5_equals_hashlib():
+    import hashlib
+
+    from wayfold.functions.digests import leading_md5
+
+    heads = [f"42:{u}:".encode() for u in ("", "7", "é乌", *["x" * n for n in (30, 43, 44, 45, 46, 47, 48, 60, 70)], *range(40))]
+    tails = [str(b).encode() for b in (0, 9, 10, 99, 100, 1999)]
+    assert leading_md5(heads, tails).tolist() == [[int(hashlib.md5(h + t).hexdigest()[:8], 16) for t in tails] for h in heads]
+
+
+def test_bootstrap_equals_plain_sums_without_a_row_for_each_round(spark, monkeypatch):
+    import hashlib
+
+    monkeypatch.setattr(ranking, "_USERS", 5)
+    monkeypatch.setattr(ranking, "_CITIES", 2)
+    r, rounds = random.Random(4), 60
+    users = [str(i) for i in range(17)] + ["x" * 60, "乌"]
+    rows = [(c, u, r.randint(1, 4), float(r.randint(0, 3)), float(r.randint(0, 3))) for c in "abcdef" for u in users if r.random() < 0.7] + [("one", "0", 1, 1.0, 0.0), (None, "1", 2, 1.0, 1.0)]
+    found = ranking.bootstrap(spark.createDataFrame(rows, "city string, u string, n long, x double, y double"), rounds)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {x.city: tuple(x)[1:] for x in found.collect()}
+    weight = lambda u, b: sum(int(hashlib.md5(f"42:{u}:{b}".encode()).hexdigest()[:8], 16) / 2**32 >= x for x in ranking._AT_MOST)
+    assert set(got) == {c for c, *_ in rows} and got[None] == (0.0, None, None, None, None)
+    for city in set(got) - {None}:
+        own, d, rel = [x[1:] for x in rows if x[0] == city], [], []
+        for b in range(rounds):
+            w = [weight(u, b) for u, *_ in own]
+            n, x, y = (sum(k * z[i] for k, z in zip(w, own)) for i in (1, 2, 3))
+            if n:
+                d.append((x - y) / n)
+                rel += [(x - y) / y * 100] if y else []
+        n, x, y = (sum(z[i] for z in own) for i in (1, 2, 3))
+        want = ((x - y) / n, *np.quantile(d, [0.025, 0.975]), *(np.quantile(rel, [0.025, 0.975]) if rel else (None, None)))
+        assert all(g == w or abs(g - w) < 1e-12 for g, w in zip(got[city], want)), city

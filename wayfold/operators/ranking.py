@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,21 +66,78 @@ def by_city(rows: DataFrame, cities: DataFrame) -> DataFrame:
 _AT_MOST = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253, 0.999998874797402]
 
 
+#: Users whose weights are held at once, and cities whose sums a task holds before it hands them on.
+_USERS, _CITIES = 512, 256
+
+
+def _resampled(rounds: int):
+    """Batches of (city, head, n, x, y) to city, round and the sums of weight, weight * n, * x and * y; round -1 weighs all users 1.
+
+    head is the digested text before the round.  The sums are parts of a city's: it may come again.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    from ..functions.digests import leading_md5
+
+    # a draw of v / 2^32 reaches a chance as soon as v reaches it times 2^32, rounded up
+    reached = [np.uint32(math.ceil(x * (1 << 32))) for x in _AT_MOST]
+    tails = [str(b).encode() for b in range(rounds)]
+
+    def weights(heads):
+        drawn = leading_md5(heads, tails)
+        found = np.ones((len(heads), rounds + 1), np.uint8)
+        found[:, 1:] = sum((drawn >= x).view(np.uint8) for x in reached)
+        return found
+
+    def handed(sums, kind):
+        for city, found in sums.items():
+            at = np.flatnonzero(found[0])
+            yield pa.RecordBatch.from_arrays([pa.array([city] * len(at), kind), pa.array(at - 1, pa.int32()), *[pa.array(found[i, at]) for i in range(4)]], ["city", "round", "w", "n", "x", "y"])
+
+    def run(batches):
+        sums, kind = {}, None
+        for batch in batches:
+            cities = batch.column("city").dictionary_encode("encode")
+            kind, names, code = cities.dictionary.type, cities.dictionary.to_pylist(), cities.indices.to_numpy()
+            heads, user = np.unique(np.array(batch.column("head").to_pylist(), object), return_inverse=True)
+            values = np.stack([np.ones(len(code)), *[batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in "nxy"]])
+            for k in range(0, len(heads), _USERS):
+                drawn = weights([h.encode() for h in heads[k : k + _USERS]])
+                rows = np.flatnonzero((user >= k) & (user < k + _USERS))
+                rows = rows[np.argsort(code[rows], kind="stable")]
+                for part in np.split(rows, np.flatnonzero(np.diff(code[rows])) + 1):
+                    added = values[:, part] @ drawn[user[part] - k].astype(float)
+                    name = names[code[part[0]]]
+                    sums[name] = sums[name] + added if name in sums else added
+                if len(sums) > _CITIES:
+                    yield from handed(sums, kind)
+                    sums = {}
+        yield from handed(sums, kind)
+
+    return run
+
+
 def bootstrap(per_user: DataFrame, rounds: int = 2000, seed: int = 42) -> DataFrame:
     """city, diff, low, high, relative_low, relative_high: 95 % intervals of x - y, absolute and in percent of y.
 
     Users are resampled inside their city by Poisson weights, which a digest of (seed, user, round)
-    fixes; rounds are rows and their sums grouped, so no city's users meet in one task, and every run
-    gives the same intervals.  per_user(city, u, n, x, y) holds sums.  A round without users is left out.
+    fixes, so every run gives the same intervals.  Users are dealt out whole: a weight is drawn once
+    for all cities of a user, and a task adds its users up by city and round, so no city's users meet
+    in one task and no row is made for each user and round.  per_user(city, u, n, x, y) holds sums
+    without nulls, which doubles add up exactly as far as they are whole numbers below 2^53.  A round
+    without users is left out.
     """
-    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("u").cast("string"), F.col("round").cast("string"))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 32))
-    weight = sum((F.when(F.col("drawn") >= x, 1).otherwise(0) for x in _AT_MOST[1:]), F.when(F.col("drawn") >= _AT_MOST[0], 1).otherwise(0))
-    rows = per_user.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1)))).withColumn("drawn", drawn).withColumn("w", weight).where("w > 0")
-    sums = rows.groupBy("city", "round").agg(*[F.sum(F.col("w") * F.col(c)).alias(c) for c in "nxy"])
-    found = sums.select("city", ((F.col("x") - F.col("y")) / F.col("n")).alias("d"), F.when(F.col("y") != 0, (F.col("x") - F.col("y")) / F.col("y") * 100).alias("r"))
-    ends = [F.percentile(c, p).alias(name) for c, p, name in (("d", 0.025, "low"), ("d", 0.975, "high"), ("r", 0.025, "relative_low"), ("r", 0.975, "relative_high"))]
-    point = per_user.groupBy("city").agg(((F.sum("x") - F.sum("y")) / F.sum("n")).alias("diff"))
-    return point.join(found.groupBy("city").agg(*ends), "city", "left")
+    spark = per_user.sparkSession
+    head = F.concat_ws(":", F.lit(str(seed)), F.col("u").cast("string"), F.lit(""))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = per_user.select("city", head.alias("head"), "n", "x", "y").repartition(tasks, "head").sortWithinPartitions("head")
+    parts = dealt.mapInArrow(_resampled(rounds), f"city {per_user.schema['city'].dataType.simpleString()}, round int, w double, n double, x double, y double")
+    sums = parts.groupBy("city", "round").agg(*[F.sum(c).alias(c) for c in "nxy"])
+    whole, drawn = F.col("round") < 0, (F.col("round") >= 0) & F.col("city").isNotNull()
+    d, r = (F.col("x") - F.col("y")) / F.col("n"), F.when(F.col("y") != 0, (F.col("x") - F.col("y")) / F.col("y") * 100)
+    ends = [F.percentile(F.when(drawn, c), p).alias(name) for c, p, name in ((d, 0.025, "low"), (d, 0.975, "high"), (r, 0.025, "relative_low"), (r, 0.975, "relative_high"))]
+    return sums.groupBy("city").agg(F.max(F.when(whole, d)).alias("diff"), *ends)
 
 
 def filtered(predictions: Column, legal, k: int = 10) -> list[Column]:
