@@ -109,6 +109,32 @@ def test_unique_completion_equals_one_by_one(spark):
         graph.unique_completion(too_many, taken.where("code < 0"), 2, sinks.Stage(spark).save).collect()
 
 
+def test_unique_completion_of_a_crowded_space_takes_few_tables(spark, monkeypatch):
+    r = random.Random(8)
+    size, save = 5, sinks.Stage(spark).save
+    priors = {pid: (pid % 2, pid % 2, 0) if pid < 70 else tuple(r.randrange(size) for _ in "abc") for pid in r.sample(range(200), 110)}
+    used = r.sample([(a, b, c) for a in range(size) for b in range(size) for c in range(size)], 15)
+    rows = spark.createDataFrame([(f"{k:03}", *v) for k, v in priors.items()], "pid string, a long, b long, c long").repartition(3)
+    taken = spark.createDataFrame([((a * size + b) * size + c,) for a, b, c in used * 2] + [(-1,), (size**3,), (None,)], "code long")
+    want, saved = {f"{k:03}": (a * size + b) * size + c for k, (a, b, c) in _completed(priors, used, size).items()}, []
+
+    def noted(df, name):
+        saved.append(name)
+        return save(df, name)
+
+    found = graph.unique_completion(rows, taken, size, noted)
+    assert {x.pid: x.code for x in found.collect()} == want and len(set(want.values())) == size**3 - len(used)
+    assert len(saved) == 3
+    with pytest.raises(ValueError, match="used up"):
+        graph.unique_completion(rows.union(spark.sql("SELECT '999', 0L, 0L, 0L")), taken, size, save)
+    with pytest.raises(Exception, match="outside its levels"):
+        graph.unique_completion(spark.sql("SELECT 1L AS pid, 0L AS a, 5L AS b, 0L AS c"), taken, size, save)
+    few = rows.where("pid < '030'")
+    want = {f"{k:03}": (a * size + b) * size + c for k, (a, b, c) in _completed({k: v for k, v in priors.items() if k < 30}, used, size).items()}
+    monkeypatch.setattr(graph, "ONE_TASK", 1)
+    assert {x.pid: x.code for x in graph.unique_completion(few, taken, size, save).collect()} == want
+
+
 def test_reliability_groups(spark):
     from wayfold.operators.reliability import mode, reliability
 
