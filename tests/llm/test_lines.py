@@ -4,9 +4,11 @@ import math
 import random
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from wayfold.llm import lines
+from wayfold.llm import lines, textkit
 from wayfold.llm.minhash import near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, found int"
@@ -122,3 +124,21 @@ def test_other_columns_pass(spark):
     rows = [(i, f"this line is on all pages\n{i} own {'x' * i}", f"l{i}", i) for i in range(12)]
     got = lines.drop_recurring(spark.createDataFrame(rows, SCHEMA), 10, keep=("lang", "found")).collect()
     assert sorted((r.doc_id, r.lang, r.found) for r in got) == [(i, f"l{i}", i) for i in range(12)]
+
+
+def test_tree_places_lines_by_few_hashes(monkeypatch):
+    """Leaves and short templates are those of the whole lines, but of a long line only leading tokens are hashed."""
+    r = random.Random(3)
+    parts = ["a", "b1", "é", "22", "3", " ", "  ", "\n", "\n\n", "\t", "\r", "\x0b", "y" * 40]
+    batches = [["".join(r.choice(parts) + r.choice(["", " "]) for _ in range(r.randrange(60))).encode() for _ in range(r.randrange(1, 6))] for _ in range(300)]
+    for texts in [*batches, [b""], [b"", b""], [b"\n"], [b"1 2 3 4"], [b"1 2 3 4 a\n1 2 3 4 5"]]:
+        whole, heads = lines.Lines(texts), lines.Heads(texts)
+        assert (whole.tokens == heads.tokens).all() and (whole.of_doc == heads.of_doc).all() and (whole.offsets == heads.offsets).all()
+        real = whole.tokens > 0
+        assert (np.where(whole.deep, whole.leaf, whole.plain)[real] == heads.key[real]).all()
+    mixed, mix = [], textkit.mix
+    for module in (lines, textkit):
+        monkeypatch.setattr(module, "mix", lambda h: (mixed.append(h.size), mix(h))[1])
+    texts = ["\n".join(" ".join(words(r, 100)) for _ in range(20)) for _ in range(10)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(10)), "text": texts})
+    assert sum(x.num_rows for x in lines._tree(4)([batch])) and sum(mixed) < 200 * 10

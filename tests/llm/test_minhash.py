@@ -3,6 +3,10 @@
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+
+from wayfold.llm import minhash, textkit
 from wayfold.llm.minhash import near_duplicates, prefix_pairs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -101,3 +105,33 @@ def test_repeated_rows_and_null_ids(spark):
     rows = [(1, text), (1, text), (5, text + " more"), (7, "quite other words stand in here"), (7, "and these are the second text of it"), (None, text), (None, None)]
     got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect())
     assert got == sorted([("1", 37, "1", True), ("1", 37, "1", True), ("5", 38, "1", False), ("7", 3, "7", True), ("7", 5, "7", True), ("None", 37, "1", False), ("None", 0, "None", False)])
+
+
+def test_prefixes_of_sorted_rows_over_batches(monkeypatch):
+    """Entries as counted by hand, whatever the batches that a document's rows are dealt to."""
+    r = random.Random(5)
+    rows, want = [], set()
+    for doc in range(40):
+        size = 300 if doc == 7 else r.randint(1, 30)
+        n = size + r.randint(0, 8)
+        own = sorted((r.randint(2, 5), r.randrange(-(2**63), 2**63)) for _ in range(size))
+        maps, first = [0] * 8, n - size
+        for _, x in own:
+            maps[x % 8] ^= 1 << ((x % 2**64) >> 6 & 63)
+        maps = [x - 2**64 if x >= 2**63 else x for x in maps]
+        for i, (_, x) in enumerate(own[: max(0, n - (n * 80 + 99) // 100 + 1 - first)]):
+            want.add((doc, doc % 3, n, first, *maps, first + i, x))
+        r.shuffle(own)
+        rows += [(doc, doc % 3, n, df, x) for df, x in own]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[i : i + 11])], list("abcde")) for i in range(0, len(rows), 11)]
+    for limit in (1, 50, 10**6):
+        monkeypatch.setattr(minhash, "PREFIX_ROWS", limit)
+        got = [tuple(x.values()) for b in minhash._prefixes(80)(iter(batches)) for x in b.to_pylist()]
+        assert len(got) == len(want) and set(got) == want
+    assert list(minhash._prefixes(80)(iter([]))) == []
+
+
+def test_buckets_of_many_signatures():
+    sigs = np.random.default_rng(2).integers(0, 2**20, (5, 96), dtype=np.uint32)
+    for sig, keys in zip(sigs, minhash.band_keys(sigs)):
+        assert (keys == textkit.mix(textkit.window_hashes(sig.astype(np.uint64), 4)[::4] + minhash._BAND_SALT)).all()

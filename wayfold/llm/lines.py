@@ -9,7 +9,9 @@ the places are fields.  A line recurs if one of them stands in documents of ``mi
 near copies (``WIDTH`` words, ``PERCENT``) or more: lines of copied documents are no boilerplate.
 Recurring lines are dropped, whatever their length and their share of a document.
 
-Leaves, tokens of a leaf and templates are hashes.  Chunks of rows send each of theirs once, with the
+Leaves, tokens of a leaf and templates are hashes.  A template is no more frequent than its leaf, so
+the first counts are of leaves alone, for which leading tokens are hashed, and of the templates of
+lines that have none; other lines are hashed whole where their leaf is frequent.  Chunks of rows send each of theirs once, with the
 number of rows that hold it, to hash ranges, which sum them.  The frequent ones go to all workers
 where they take ``BROADCAST_BYTES`` at most (measured), else by joins to the documents that hold
 them, with the same result.  Only the lines with a frequent leaf or template are kept for what
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from .minhash import near_duplicates
 from .scratch import Scratch, hash_ranges, with_ids
 from .substrings import _cuts, _starts
-from .textkit import _PLACES, U64, mix, slices, to_bytes, word_hashes
+from .textkit import _PLACES, U64, hash_words, is_space, mix, slices, to_bytes, word_edges, word_hashes
 
 DEPTH, LEAST, MIN_DOCS, SHARE = 2, 4, 10, 0.1
 #: One of so many places may be a field in a learned template.
@@ -42,13 +44,21 @@ WIDTH, PERCENT = 5, 80
 ENTRIES = 2_000_000
 #: Bytes of frequent hashes up to which they are broadcast.
 BROADCAST_BYTES = 32 << 20
-_DIGIT = np.zeros(256, bool)
-_DIGIT[48:58] = True
 VARIABLE, _N, _LEAF, _PLACE = U64(0x2A), U64(0x9E3779B97F4A7C15), U64((1 << 61) - 1), U64(0xD6E8FEB86659FD93)
 _COUNTED = "part int, hashes binary, docs binary, holders binary, least binary"
 _DEALT = "part int, docs binary, hashes binary, counts binary"
 
 
+def _digits(data: np.ndarray) -> np.ndarray:
+    """The places of the digits 0-9."""
+    return np.flatnonzero(data - np.uint8(48) < 10)
+
+
+def leaf_of(leads: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The hash of a leaf, from the sum over its leading tokens; odd, where templates are even."""
+    return mix(leads + tokens * _N + _LEAF) | U64(1)
+
+
 class Lines:
     """The lines of many texts: token counts, templates with digits generalised, leaves, tokens of leaves."""
 
@@ -57,7 +67,7 @@ class Lines:
         data = np.frombuffer(buffer, np.uint8)
         hashes, starts, _ = word_hashes(buffer)
         variable = np.zeros(len(starts), bool)
-        variable[np.searchsorted(starts, np.flatnonzero(_DIGIT[data]), "right") - 1] = True
+        variable[np.searchsorted(starts, _digits(data), "right") - 1] = True
         breaks = np.flatnonzero(data == 10)
         self.line = np.searchsorted(breaks, starts)
         n_lines = len(breaks) + 1
@@ -70,10 +80,9 @@ class Lines:
         self.first = np.concatenate([[0], np.cumsum(self.tokens)[:-1]])
         self.place = np.arange(len(hashes)) - np.repeat(self.first, self.tokens)
         self.turn = _PLACES[self.place % 64] * (self.place // 64 + 1).astype(U64)
-        # even hashes are templates, odd ones leaves
         self.plain = self.template(np.ones(len(hashes), bool))
         lead = np.where(self.place < DEPTH, mix(self.hashes + self.turn), 0)
-        self.leaf = mix(self._sum(lead) + self.tokens.astype(U64) * _N + _LEAF) | U64(1)
+        self.leaf = leaf_of(self._sum(lead), self.tokens.astype(U64))
         self.deep = (self.tokens >= LEAST) & ~bare
         # a document's lines: one more than its line breaks; the join itself breaks lines between documents
         counts = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
@@ -103,6 +112,43 @@ class Lines:
         return np.where(usable, self.template(constant), self.plain)
 
 
+class Heads:
+    """The lines of many texts as the tree places them: by their leaf, or by their template where they have none.
+
+    Only leading tokens are hashed, and the whole of the lines too short for a leaf or led by fields.
+    """
+
+    def __init__(self, texts: list[bytes]):
+        buffer = b"\n".join(texts) + b"\n"
+        data = np.frombuffer(buffer, np.uint8)
+        starts, ends = word_edges(is_space(data))
+        breaks = np.flatnonzero(data == 10)
+        first = np.searchsorted(starts, np.concatenate([[0], breaks]))
+        self.tokens = np.diff(first)
+        lead = np.minimum(first[:-1, None] + np.arange(DEPTH), max(0, len(starts) - 1))
+        digits = _digits(data)
+        long = np.flatnonzero(self.tokens >= LEAST)
+        at = lead[long]
+        variable = np.zeros(at.shape, bool)
+        if len(long):
+            variable = np.searchsorted(digits, ends[at]) > np.searchsorted(digits, starts[at])
+        # a line of fields only begins with fields
+        whole = (self.tokens > 0) & (self.tokens < LEAST)
+        whole[long] = variable.all(axis=1)
+        some = ~variable.all(axis=1)
+        at, variable, tokens = at[some], variable[some], self.tokens[long[some]].astype(U64)
+        hashes = np.where(variable.ravel(), VARIABLE, hash_words(data, starts[at.ravel()], ends[at.ravel()])).reshape(at.shape)
+        self.key = np.zeros(len(self.tokens), U64)
+        self.key[long[some]] = leaf_of(mix(hashes + _PLACES[:DEPTH]).sum(axis=1, dtype=U64), tokens)
+        if whole.any():
+            sizes = np.diff(breaks, prepend=-1)
+            lines = Lines([data[np.repeat(whole, sizes)].tobytes()[:-1]])
+            self.key[whole] = np.where(lines.deep, lines.leaf, lines.plain)
+        counts = np.array([t.count(b"\n") + 1 for t in texts], np.int64)
+        self.of_doc = np.repeat(np.arange(len(texts)), counts)
+        self.offsets = np.concatenate([[0], np.cumsum(counts)])
+
+
 class Known:
     """The counts of hashes that each of a batch's documents was told."""
 
@@ -176,20 +222,31 @@ def _ranged(hashes: np.ndarray, rows: np.ndarray, ids: np.ndarray, n_parts: int,
 
 
 def _tree(n_parts: int):
-    """Plain templates and leaves of all lines."""
+    """Leaves of all lines, and templates of those that have none."""
 
     def write(batches):
         for whole in batches:
             for batch in slices(whole, 8_000_000):
-                lines = Lines(to_bytes(batch.column("text")))
-                real, deep = lines.tokens > 0, lines.deep
-                hashes = np.concatenate([lines.plain[real], lines.leaf[deep]])
-                rows = np.concatenate([lines.of_doc[real], lines.of_doc[deep]])
-                yield _ranged(hashes, rows, batch.column("doc_id").to_numpy(zero_copy_only=False), n_parts)
+                heads = Heads(to_bytes(batch.column("text")))
+                real = heads.tokens > 0
+                yield _ranged(heads.key[real], heads.of_doc[real], batch.column("doc_id").to_numpy(zero_copy_only=False), n_parts)
 
     return write
 
 
+def _picked(raw: list[bytes], told) -> tuple[list[bytes], list[np.ndarray]]:
+    """Of each text the lines with a frequent leaf or, without one, template (joined), and their numbers."""
+    heads = Heads(raw)
+    pick = (heads.tokens > 0) & (told.counts(heads.key, heads.of_doc) > 0)
+    texts, numbers = [], []
+    for text, a, b in zip(raw, heads.offsets[:-1].tolist(), heads.offsets[1:].tolist()):
+        own = np.flatnonzero(pick[a:b])
+        cut = text.split(b"\n") if len(own) else []
+        texts.append(b"\n".join([cut[j] for j in own.tolist()]))
+        numbers.append(own.astype(np.int32))
+    return texts, numbers
+
+
 def _candidates(tree: Told, others: int):
     """The lines that have a frequent leaf or template, with their numbers."""
 
@@ -198,16 +255,8 @@ def _candidates(tree: Told, others: int):
 
         for whole in batches:
             for batch in slices(whole, 4_000_000):
-                raw = to_bytes(batch.column("text"))
-                lines, told = Lines(raw), tree.of(batch)
-                pick = (lines.tokens > 0) & ((told.counts(lines.plain, lines.of_doc) > 0) | lines.deep & (told.counts(lines.leaf, lines.of_doc) > 0))
-                texts, numbers = [], []
-                for i, text in enumerate(raw):
-                    own = np.flatnonzero(pick[lines.offsets[i] : lines.offsets[i + 1]])
-                    cut = text.split(b"\n") if len(own) else []
-                    texts.append(b"\n".join([cut[j] for j in own.tolist()]))
-                    numbers.append(own.astype(np.int32).tobytes())
-                columns = [*(batch.column(i) for i in range(others)), pa.array(texts, pa.binary()), pa.array(numbers, pa.binary())]
+                texts, numbers = _picked(to_bytes(batch.column("text")), tree.of(batch))
+                columns = [*(batch.column(i) for i in range(others)), pa.array(texts, pa.binary()), pa.array([x.tobytes() for x in numbers], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:others], "lines", "numbers"])
 
     return run
@@ -237,7 +286,7 @@ def _templates(n_parts: int, min_docs: int, tree: Told, inner: Told):
         for whole in batches:
             for batch in slices(whole, 4_000_000):
                 lines, told = Lines(to_bytes(batch.column("lines"))), tree.of(batch)
-                plain = (told.counts(lines.plain, lines.of_doc) > 0) & (lines.tokens > 0)
+                plain = lines.tokens > 0
                 found = lines.learned(told, inner.of(batch), min_docs)
                 more = lines.deep & (found != lines.plain)
                 hashes, rows = np.concatenate([lines.plain[plain], found[more]]), np.concatenate([lines.of_doc[plain], lines.of_doc[more]])
@@ -348,11 +397,13 @@ def _over_classes(min_docs: int):
     return merge
 
 
-def _recur(lines: Lines, batch, min_docs: int, tree: Told, inner: Told, last: Told) -> np.ndarray:
-    recurring = last.of(batch)
+def _recur(texts: list[bytes], numbers: list[np.ndarray], batch, min_docs: int, tree: Told, inner: Told, last: Told) -> list[np.ndarray]:
+    """Of the numbers of candidate lines those of lines that recur."""
+    lines, recurring = Lines(texts), last.of(batch)
     drop = recurring.counts(lines.plain, lines.of_doc) > 0
     drop |= recurring.counts(lines.learned(tree.of(batch), inner.of(batch), min_docs), lines.of_doc) > 0
-    return drop & (lines.tokens > 0)
+    drop &= lines.tokens > 0
+    return [x[drop[a:b][: len(x)]] for x, a, b in zip(numbers, lines.offsets[:-1], lines.offsets[1:])]
 
 
 def _numbers(min_docs: int, *told: Told):
@@ -363,10 +414,9 @@ def _numbers(min_docs: int, *told: Told):
 
         for whole in batches:
             for batch in slices(whole, 4_000_000):
-                lines = Lines(to_bytes(batch.column("lines")))
-                drop = _recur(lines, batch, min_docs, *told)
-                out = [np.frombuffer(x, np.int32)[drop[a:b][: len(x) // 4]].tobytes() for x, a, b in zip(batch.column("numbers").to_pylist(), lines.offsets[:-1], lines.offsets[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(out, pa.binary())], ["doc_id", "row", "gone"])
+                numbers = [np.frombuffer(x, np.int32) for x in batch.column("numbers").to_pylist()]
+                gone = _recur(to_bytes(batch.column("lines")), numbers, batch, min_docs, *told)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array([x.tobytes() for x in gone], pa.binary())], ["doc_id", "row", "gone"])
 
     return run
 
@@ -382,9 +432,7 @@ def _dropper(others: int, min_docs: int = 0, *told: Told):
             for batch in slices(whole):
                 raw, texts, n_lines, dropped = to_bytes(batch.column("text")), [], [], []
                 if told:
-                    lines = Lines(raw)
-                    drop = _recur(lines, batch, min_docs, *told)
-                    gone = [np.flatnonzero(drop[a:b]) for a, b in zip(lines.offsets[:-1], lines.offsets[1:])]
+                    gone = _recur(*_picked(raw, told[0].of(batch)), batch, min_docs, *told)
                 else:
                     gone = [np.frombuffer(x or b"", np.int32) for x in batch.column("gone").to_pylist()]
                 for text, numbers in zip(raw, gone):
@@ -429,7 +477,7 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, keep: tuple[str, .
 
     counts, over_classes = _frequent(min_docs), _over_classes(min_docs)
     texts, binary = docs.select("doc_id", row, "text"), " binary, {0}_counts binary"
-    index = counted(texts, _tree(n), "tree")
+    index = counted(docs.select("doc_id", "text"), _tree(n), "tree")
     shared, tree = frequent(index, counts, "leaves")
     fields = "doc_id long, row long"
     if tree.everywhere is None:
@@ -472,5 +520,5 @@ def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     changed = drop_recurring(docs)
     same = with_ids(docs, changed, keep=False)
     text = F.coalesce("text", F.lit(""))
-    same = same.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.sha2(text, 256).alias("kept_sha256"))
+    same = same.select("doc_id", (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"))) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped"), F.sha2(text, 256).alias("kept_sha256"))
     return same.union(changed.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256")))

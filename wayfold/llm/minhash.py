@@ -24,12 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import Scratch, with_ids
-from .textkit import U64, Batch, mix, slices, to_bytes, window_hashes
+from .textkit import _PLACES, U64, Batch, mix, slices, to_bytes, window_hashes
 
 UNIVERSE_BITS = 20
 BANDS, ROWS = 24, 4
 #: Words of 64 bits in a parity map; a longer map tells more pairs of long texts apart.
 MAPS = 8
+#: Rows held in a task before their prefixes are cut.
+PREFIX_ROWS = 500_000
 #: Components settle in a few rounds; a chain of n links needs about log2(n).
 MAX_ROUNDS = 60
 
@@ -63,8 +65,10 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 _BAND_SALT = np.arange(BANDS, dtype=np.uint64) * U64(0x9E3779B97F4A7C15)
 
 
-def band_keys(sig: np.ndarray) -> np.ndarray:
-    return mix(window_hashes(sig.astype(U64), ROWS)[::ROWS] + _BAND_SALT)
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """The bucket of each band, for rows of signatures."""
+    rows = sigs.astype(U64).reshape(len(sigs), BANDS, ROWS)
+    return mix(mix((rows * _PLACES[:ROWS]).sum(axis=2, dtype=U64)) + _BAND_SALT)
 
 
 def _sketcher(width: int):
@@ -74,14 +78,19 @@ def _sketcher(width: int):
         for whole in batches:
             for batch in slices(whole):
                 words = Batch(to_bytes(batch.column("text")), lower=True)
-                sizes, keys, bands = [], [], []
+                sizes, keys, sigs = [], [], []
                 for i in range(batch.num_rows):
                     found = shingle_set(words.of(i), width)
                     sizes.append(len(found))
                     keys.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
-                    bands.append(band_keys(signature(found)).view(np.int64) if len(found) else None)
+                    if len(found):
+                        sigs.append(signature(found))
+                buckets = band_keys(np.array(sigs, np.uint32).reshape(len(sigs), BANDS * ROWS)).view(np.int64).ravel()
+                real = np.array(sizes) > 0
+                # a list's offset is null where the list is
+                offsets = pa.array(np.append(np.cumsum(real) - real, len(sigs)) * BANDS, pa.int32(), mask=np.append(~real, False))
                 yield pa.record_batch(
-                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
+                    [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(buckets))],
                     ["doc_id", "n_shingles", "set_key", "bands"],
                 )
 
@@ -174,6 +183,46 @@ def _shingle_rows(width: int):
     return run
 
 
+def _prefixes(percent: int):
+    """Prefix entries of each document with its first place and parity maps; a document's rows come one after another."""
+    names = ["doc_id", "component", "n", "first", *(f"map{k}" for k in range(MAPS)), "place", "shingle"]
+
+    def cut(doc, component, n, df, shingle):
+        import pyarrow as pa
+
+        order = np.lexsort((shingle, df, doc))
+        doc, component, n, shingle = (x[order] for x in (doc, component, n, shingle))
+        begin = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+        size = np.diff(np.append(begin, len(doc)))
+        first = n[begin] - size
+        flip = np.left_shift(U64(1), shingle.view(U64) >> U64(6) & U64(63))
+        maps = [np.bitwise_xor.reduceat(np.where(shingle % MAPS == k, flip, U64(0)), begin).view(np.int64) for k in range(MAPS)]
+        taken = n[begin] + (-n[begin] * percent // 100) + 1 - first
+        place = np.arange(len(doc)) - np.repeat(begin, size)
+        pick = place < np.repeat(taken, size)
+        own = [np.repeat(x, size)[pick] for x in (first, *maps)]
+        columns = [doc[pick], component[pick], n[pick], *own, own[0] + place[pick], shingle[pick]]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names)
+
+    def run(batches):
+        kept, size, limit = [], 0, PREFIX_ROWS
+        for batch in batches:
+            kept.append([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)])
+            size += batch.num_rows
+            if size >= limit:
+                rows = [np.concatenate(x) for x in zip(*kept)]
+                # the last document may go on
+                end = int(np.flatnonzero(rows[0] != rows[0][-1])[-1]) + 1 if rows[0][0] != rows[0][-1] else 0
+                if end:
+                    yield cut(*(x[:end] for x in rows))
+                kept, size = [[x[end:] for x in rows]], size - end
+                limit = max(PREFIX_ROWS, 2 * size)
+        if size:
+            yield cut(*(np.concatenate(x) for x in zip(*kept)))
+
+    return run
+
+
 def prefix_pairs(texts: DataFrame, labels: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of different components that may meet the threshold; none that does is left out.
 
@@ -189,15 +238,10 @@ def prefix_pairs(texts: DataFrame, labels: DataFrame, width: int, percent: int)
     )
     spread = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
     met = rows.join(spread.select("shingle", "df"), "shingle")
-    flip = "shiftleft(1L, cast(shiftrightunsigned(shingle, 6) & 63 as int))"
-    maps = [F.expr(f"bit_xor(if(pmod(shingle, {MAPS}) = {k}, {flip}, 0L))").alias(f"map{k}") for k in range(MAPS)]
-    listed = met.groupBy("doc_id", "component", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("order"), *maps)
-    least = F.ceil(F.col("n") * percent / 100)
-    first = F.col("n") - F.size("order")
-    taken = F.greatest(F.lit(0).cast("long"), F.col("n") - least + 1 - first)
-    own = ["doc_id", "component", "n", "first", *(f"map{k}" for k in range(MAPS))]
-    entry = listed.withColumn("first", first).withColumn("order", F.slice("order", F.lit(1), taken.cast("int"))).select(*own, F.posexplode("order").alias("i", "x"))
-    entry = entry.select(*own, (F.col("first") + F.col("i")).alias("place"), F.col("x.shingle").alias("shingle"))
+    # grouped by an exchange and a sort: an aggregate of lists would merge nothing before the exchange
+    listed = met.select("doc_id", "component", "n", "df", "shingle").repartition("doc_id").sortWithinPartitions("doc_id")
+    longs = ", ".join(f"{c} long" for c in ("doc_id", "component", "n", "first", *(f"map{k}" for k in range(MAPS)), "place", "shingle"))
+    entry = Scratch(texts.sparkSession, "prefix").save(listed.mapInArrow(_prefixes(percent), longs), "entries")
     a, b = entry.alias("a"), entry.alias("b")
     need = F.ceil((F.col("a.n") + F.col("b.n")) * percent / (100 + percent))
     enough = F.least(F.col("a.n") - F.col("a.place"), F.col("b.n") - F.col("b.place")) >= need

@@ -19,8 +19,6 @@ _PLACES = _random.integers(1, 2**63, 64, dtype=np.uint64) * U64(2) + U64(1)
 _LANES = _random.integers(1, 2**63, 4, dtype=np.uint64) * U64(2) + U64(1)
 _LENGTH = U64(0x9E3779B97F4A7C15)
 _KEEP = np.array([2 ** (8 * k) - 1 for k in range(9)], dtype=np.uint64)
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: Bytes hashed at a time; a piece ends at white space, and only a longer word makes a longer piece.
@@ -43,9 +41,23 @@ def _lane(words: np.ndarray, at: np.ndarray) -> np.ndarray:
     return words[i] >> bits | words[i + 1] << U64(1) << (U64(63) - bits)
 
 
-def _hash_piece(piece: np.ndarray, space: np.ndarray):
-    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
-    starts, ends = edge[::2], edge[1::2]
+def is_space(data: np.ndarray) -> np.ndarray:
+    return (data == 0x20) | (data - np.uint8(9) < 5)
+
+
+def word_edges(space: np.ndarray):
+    """(start, end) of every run of places that are no white space."""
+    if not len(space):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    turns = np.empty(len(space) + 1, bool)
+    turns[0], turns[-1] = not space[0], not space[-1]
+    np.not_equal(space[1:], space[:-1], out=turns[1:-1])
+    edge = np.flatnonzero(turns)
+    return edge[::2], edge[1::2]
+
+
+def hash_words(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of some words of a piece, given by their places."""
     n = ends - starts
     words = np.zeros(len(piece) // 8 + 3, U64)
     words.view(np.uint8)[: len(piece)] = piece
@@ -59,7 +71,7 @@ def _hash_piece(piece: np.ndarray, space: np.ndarray):
         h[more] = mix(h[more] ^ (lane + U64(k)) * _LANES[k])
     for i in np.flatnonzero(n > 8 * len(_LANES)).tolist():
         h[i] = xxhash.xxh3_64_intdigest(piece[starts[i] : ends[i]].tobytes(), 0x5EED)
-    return h, starts, ends
+    return h
 
 
 def word_hashes(buffer: bytes, lower: bool = False):
@@ -67,7 +79,7 @@ def word_hashes(buffer: bytes, lower: bool = False):
     data = np.frombuffer(buffer, np.uint8)
     if lower:
         data = _LOWER[data]
-    space = _SPACE[data]
+    space = is_space(data)
     found, at = [], 0
     while at < len(data):
         end = min(at + _PIECE, len(data))
@@ -78,8 +90,8 @@ def word_hashes(buffer: bytes, lower: bool = False):
             else:
                 rest = np.flatnonzero(space[end:])
                 end = end + int(rest[0]) + 1 if len(rest) else len(data)
-        hashes, starts, ends = _hash_piece(data[at:end], space[at:end])
-        found.append((hashes, starts + at, ends + at))
+        starts, ends = word_edges(space[at:end])
+        found.append((hash_words(data[at:end], starts, ends), starts + at, ends + at))
         at = end
     if not found:
         return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
